@@ -132,9 +132,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[n
     row = np.repeat(np.arange(len(n)), each)
     left = n[row]
     total = np.zeros(out[-1], dtype=np.uint64)
-    factor = np.uint64(1)
     for k in range(width):
-        ok = left > k
-        total += np.where(ok, words[np.minimum(starts + k, len(words) - 1)] if len(words) else np.uint64(0), np.uint64(k + 7)) * factor
-        factor = factor * _BASE
+        word = words[np.minimum(starts + k, len(words) - 1)] if len(words) else np.zeros(len(starts), dtype=np.uint64)
+        total += np.where(left > k, word, np.uint64(k + 7)) * np.uint64(pow(int(_BASE), k, 1 << 64))
     return mix64(total), out

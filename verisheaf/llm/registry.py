@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from verisheaf.llm import exact_dedup, mixing
+from verisheaf.llm import exact_dedup, mixing, near_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_near_duplicates": near_dedup.op1_near_duplicates,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
