@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from verisheaf.llm import exact_dedup, mixing, near_dedup
+from verisheaf.llm import decontamination, exact_dedup, licenses, mixing, near_dedup
 
 
 def queries() -> dict:
     return {
         "op1_near_duplicates": near_dedup.op1_near_duplicates,
+        "op6_decontaminate": decontamination.op6_decontaminate,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_license_scan": licenses.op9_license_scan,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_decontaminate": decontamination.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
+        "op9_license_scan": licenses.sql(),
         "op10_mix_sources": mixing.SQL,
     }
