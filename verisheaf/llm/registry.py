@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from verisheaf.llm import decontamination, exact_dedup, licenses, mixing, near_dedup
+from verisheaf.llm import decontamination, exact_dedup, html_text, licenses, mixing, near_dedup
 
 
 def queries() -> dict:
     return {
         "op1_near_duplicates": near_dedup.op1_near_duplicates,
+        "op5_html_text": html_text.op5_html_text,
         "op6_decontaminate": decontamination.op6_decontaminate,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_license_scan": licenses.op9_license_scan,
