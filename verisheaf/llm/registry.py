@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from verisheaf.llm import decontamination, exact_dedup, html_text, licenses, mixing, near_dedup
+from verisheaf.llm import decontamination, exact_dedup, html_text, licenses, mixing, near_dedup, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_near_duplicates": near_dedup.op1_near_duplicates,
+        "op3_quality": quality.op3_quality,
         "op5_html_text": html_text.op5_html_text,
         "op6_decontaminate": decontamination.op6_decontaminate,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_license_scan": licenses.op9_license_scan,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
