@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +34,23 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stage_table(df: DataFrame, label: str) -> DataFrame:
+def stage_table(df: DataFrame, label: str, shrink: int = 1) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors and
-    gives the optimizer a true size to decide on broadcasts with."""
+    gives the optimizer a true size to decide on broadcasts with. shrink: of a table without texts, made by a shuffle
+    that is dealt out for texts, so many partitions become one file."""
     spark = df.sparkSession
     path = stage_path(spark, label)
+    if shrink > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // shrink))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_on_disk(df: DataFrame) -> DataFrame:
+    """df, computed once and kept on the executors' disks; what a lost executor held is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def text_of(column: str) -> Column:
     """The text column, null counted as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verisheaf.llm.common import NOT_WHITE, read_table, stage_table, text_of
+from verisheaf.llm.common import NOT_WHITE, keep_on_disk, read_table, stage_table, text_of
 
 #: Weights of the sources in the order of their names, repeating.
 CYCLE = (5.0, 2.0, 1.0)
@@ -41,7 +41,7 @@ def targets(sizes: DataFrame, cycle=CYCLE, share: float = SHARE, epochs: int = E
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, cycle)), F.pmod(rank, F.lit(len(cycle))).cast("int") + 1)
     table = sizes.select("source_key", "source_size", weight.alias("weight"), (F.col("source_size") * epochs).cast("double").alias("most"))
-    table = stage_table(table, "mix-sources")
+    table = stage_table(table, "mix-sources", shrink=1 << 30)
     total, most = table.agg(F.sum("source_size"), F.sum("most")).first()
     budget = min(share * (total or 0), most or 0.0)
     # A source is full once level * weight reaches its most; the level only rises, so this ends.
@@ -117,9 +117,9 @@ def mix_sources(
     )
     base = base.withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     base = base.withColumn("slice", F.conv(F.substring("hash", 1, 3), 16, 10).cast("int"))
-    base = stage_table(base, "mix-sizes")
+    base = keep_on_disk(base)
     slices = base.groupBy("source", "source_key", "slice").agg(F.sum("size").alias("slice_size"))
-    slices = stage_table(slices, "mix-slices")
+    slices = stage_table(slices, "mix-slices", shrink=8)
     goal, budget = targets(slices.groupBy("source", "source_key").agg(F.sum("slice_size").alias("source_size")), cycle, share, epochs)
     before = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.select("source_key", "slice", F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("start"))
@@ -127,7 +127,7 @@ def mix_sources(
     inside = Window.partitionBy("source_key", "slice").orderBy("hash", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = base.join(starts, ["source_key", "slice"]).withColumn("end", F.col("start") + F.sum("size").over(inside))
     placed = placed.select("doc_id", "source_key", "hash", "size", "source_size", "target", "end")
-    placed = stage_table(placed, "mix-placed")
+    placed = stage_table(placed, "mix-placed", shrink=8)
     times = [((F.lit(k) * F.col("source_size") + F.col("end")) / F.col("target")) for k in range(epochs)]
     entries = placed.where("size > 0 and target > 0").select(
         "*", F.posexplode(F.array(*times)).alias("turn", "finish")
