@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verisheaf.llm.common import SPACE, WHITE, mix64, read_table, shingle_hashes, stage_table, text_buffer, text_of, word_hashes
@@ -20,8 +20,9 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Bytes of text hashed at once, which bounds a worker's memory unless one text is longer.
 SLICE_BYTES = 1 << 21
-#: Members of a bucket that are compared with all others in the first round after the leaders.
-PIVOTS = 64
+#: Buckets of at most so many texts are compared in full where they hold several classes; larger ones are cut finer by
+#: a further band, so many times at most.
+SMALL, DEEPEST = 256, 4
 
 _STEP = 0xD1342543DE82EF95
 
@@ -79,6 +80,31 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def four_bits(signatures: np.ndarray) -> np.ndarray:
+    """Four bits of each register, 16 registers a word: enough to tell how many registers of two texts differ."""
+    n, m = signatures.shape
+    bits = np.zeros((n, -(-m // 16) * 16), dtype=np.uint64)
+    bits[:, :m] = mix64(signatures) >> np.uint64(60)
+    shifts = (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, None, :]
+    return np.bitwise_or.reduce(bits.reshape(n, -1, 16) << shifts, axis=2).view(np.int64)
+
+
+def differing(a: str, b: str, words: int):
+    """Registers in which the marks of two texts differ; a and b: columns of the marks."""
+    total = F.lit(0)
+    for k in range(words):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        total = total + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def most_differing(m: int, threshold: float) -> int:
+    """A pair at the threshold differs in more registers once in a million times (five standard deviations)."""
+    p = (1 - threshold) * 15 / 16
+    return int(np.ceil(m * p + 5 * np.sqrt(m * p * (1 - p))))
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES):
     """Consecutive (from, to) rows of a string column whose bytes stay within limit, at least one row each."""
     _, offsets = text_buffer(column)
@@ -90,7 +116,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES):
 
 
 def sketcher(bands: int, rows: int, width: int):
-    """For mapInArrow: (doc_id, key, norm, uid) to (doc_id, key, uid, bands); bands is empty where there is no word."""
+    """For mapInArrow: (doc_id, key, norm, uid) to (doc_id, key, uid, bands, marks); bands is empty where there is no
+    word. marks holds four bits of each register."""
 
     def run(batches):
         for batch in batches:
@@ -99,11 +126,13 @@ def sketcher(bands: int, rows: int, width: int):
                 raw, offsets = text_buffer(text.slice(at, to - at))
                 parts = _weighted(raw, offsets, width)
                 n = to - at
-                hashes = band_hashes(prob_minhash(*parts, n, bands * rows), bands, rows)
+                signatures = prob_minhash(*parts, n, bands * rows)
+                hashes, marks = band_hashes(signatures, bands, rows), four_bits(signatures)
                 some = np.bincount(parts[0], minlength=n) > 0
                 ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[some].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, n) for k in (0, 1, 3)), lists], ["doc_id", "key", "uid", "bands"])
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * marks.shape[1]), pa.array(marks.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, n) for k in (0, 1, 3)), lists, marks], ["doc_id", "key", "uid", "bands", "marks"])
 
     return run
 
@@ -163,14 +192,15 @@ def verifier(width: int, threshold: float):
 def _components(links: DataFrame) -> DataFrame:
     """(key, label) for every key of links (a, b): the smallest key it is connected with. Labels travel along links and
     then follow their own label, so chains shorten by half each round."""
-    both = stage_table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
-    labels = stage_table(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")).select("key", F.least("key", "near").alias("label")), "near-labels")
+    both = stage_table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links", shrink=8)
+    labels = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")).select("key", F.least("key", "near").alias("label"))
+    labels = stage_table(labels, "near-labels", shrink=8)
     while True:
         near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
         step = labels.join(near, "key").select("key", "label", F.least("label", "near").alias("new"))
         jump = step.select(F.col("key").alias("new"), F.col("new").alias("far"))
         step = step.join(jump, "new").select("key", "label", F.least("new", "far").alias("new"))
-        step = stage_table(step, "near-labels")
+        step = stage_table(step, "near-labels", shrink=8)
         changed = step.where("new <> label").limit(1).count()
         labels = step.select("key", F.col("new").alias("label"))
         if not changed:
@@ -193,10 +223,12 @@ def near_duplicates(
     MD5 of the normalised text; different texts are linked when their probability Jaccard similarity over weighted
     five-word shingles is at least the threshold. Classes are the connected components of the links.
 
-    Candidates are texts that share a band of the signature. In each bucket all members are compared with its leader,
-    the member that meets most others over all its buckets; then, only in buckets that still hold several classes,
-    further members are compared with those of other classes until no such pair is left. So no pair of one class is
-    compared for nothing, and no bucket is cut off.
+    Candidates are texts that share a band of the signature and differ in no more registers than a pair at the threshold
+    does. In each bucket all members are compared with its leader, the member that meets most others over all its
+    buckets. Buckets that then still hold several classes are gone through again: small ones compare all members of
+    different classes, large ones only with a leader, and their members meet once more in the finer buckets that they
+    share with a further band. What is large even then is compared in full, so no bucket is cut off, and the pairs
+    within a class are never listed.
 
     A text of one to four words has one shingle. Texts without words (also null) form one class, as equal texts. Null
     ids are larger than all others; a class of null ids alone has class_id null. Rows repeated with the same id and
@@ -206,54 +238,69 @@ def near_duplicates(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"))
     base = base.select("doc_id", F.unhex(F.md5("norm")).alias("key"), "norm")
     numbered = base.withColumn("uid", F.monotonically_increasing_id())  # written once, so that repeated rows differ
-    sketches = numbered.mapInArrow(sketcher(bands, rows, width), "doc_id long, key binary, uid long, bands array<long>")
+    sketches = numbered.mapInArrow(sketcher(bands, rows, width), "doc_id long, key binary, uid long, bands array<long>, marks array<long>")
     sketches = stage_table(sketches, "near-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    texts = sketches.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"))
+    texts = sketches.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     texts = stage_table(texts, "near-texts")
-    members = texts.select("key", F.explode("bands").alias("bucket"))
+    members = texts.select("key", "marks", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage_table(members.join(shared, "bucket"), "near-members")
+    members = stage_table(members.join(shared, "bucket"), "near-members", shrink=4)
     central = members.groupBy("key").agg(F.sum("n").alias("meets"))
-    members = stage_table(members.join(central, "key").select("bucket", "key", "n", "meets"), "near-members")
+    members = stage_table(members.join(central, "key").select("bucket", "key", "marks", "meets"), "near-members", shrink=4)
     wanted = members.select("key").distinct().join(texts.select("key", F.col("first.doc_id").alias("doc_id")), "key")
     held = base.join(wanted, (base["key"] == wanted["key"]) & base["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     held = stage_table(held.select("key", "norm").dropDuplicates(["key"]), "near-held")
+    near = differing("marks", "their_marks", -(-bands * rows // 16)) <= most_differing(bands * rows, threshold)
 
     def verify(pairs: DataFrame) -> DataFrame:
         full = pairs.join(held.select(F.col("key").alias("b"), F.col("norm").alias("text_b")), "b")
         full = full.join(held.select(F.col("key").alias("a"), F.col("norm").alias("text_a")), "a")
-        return full.select("a", "b", "text_a", "text_b").mapInArrow(verifier(width, threshold), "a binary, b binary, similarity double")
+        found = full.select("a", "b", "text_a", "text_b").mapInArrow(verifier(width, threshold), "a binary, b binary, similarity double")
+        return stage_table(found, "near-links", shrink=4)
+
+    def with_leader(of: DataFrame) -> DataFrame:
+        best = of.groupBy("bucket").agg(F.max(F.struct("meets", "key", "marks", "label")).alias("lead"))
+        best = best.select("bucket", F.col("lead.key").alias("their_key"), F.col("lead.marks").alias("their_marks"), F.col("lead.label").alias("their_label"))
+        return of.join(best, "bucket").where((F.col("label") != F.col("their_label")) & near)
+
+    def as_pairs(met: DataFrame) -> DataFrame:
+        return met.select(F.greatest("key", "their_key").alias("a"), F.least("key", "their_key").alias("b")).distinct()
 
-    leader = members.groupBy("bucket").agg(F.max(F.struct("meets", "key")).alias("lead")).select("bucket", F.col("lead.key").alias("a"))
-    pairs = members.join(leader, "bucket").where("a <> key").select("a", F.col("key").alias("b")).distinct()
-    pairs = stage_table(pairs, "near-pairs")
-    links = stage_table(verify(pairs), "near-links")
+    pairs = stage_table(as_pairs(with_leader(members.withColumn("label", F.col("key")))), "near-pairs", shrink=4)
+    links = verify(pairs)
     labels = _components(links)
-    low, high = 0, PIVOTS
-    while True:
-        marked = members.join(labels, "key", "left").select("bucket", "key", "meets", F.coalesce("label", "key").alias("label"))
+    level = members.select("bucket", "key", "marks", "meets", F.col("bucket").alias("last"))
+    for depth in range(1, DEEPEST + 1):
+        marked = level.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
         mixed = marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("held")).where("x <> y")
-        mixed = mixed.where(F.col("held") > low).select("bucket")
-        order = Window.partitionBy("bucket").orderBy(F.desc("meets"), "key")
-        ranked = stage_table(marked.join(mixed, "bucket").withColumn("rank", F.row_number().over(order)), "near-ranked")
-        if ranked.isEmpty():
+        mixed = stage_table(marked.join(mixed.select("bucket", "held"), "bucket"), "near-mixed", shrink=4)
+        if mixed.isEmpty():
             break
-        pivot = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select("bucket", F.col("key").alias("p"), F.col("label").alias("p_label"), F.col("rank").alias("p_rank"))
-        more = ranked.join(pivot, "bucket").where("label <> p_label and rank > p_rank")
-        more = more.select(F.greatest("p", "key").alias("a"), F.least("p", "key").alias("b")).distinct()
-        done = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = stage_table(more.join(done, ["a", "b"], "left_anti"), "near-pairs")
+        small = mixed if depth == DEEPEST else mixed.where(F.col("held") <= SMALL)
+        large = mixed.where(F.col("held") > SMALL)
+        other = small.select("bucket", F.col("key").alias("their_key"), F.col("marks").alias("their_marks"), F.col("label").alias("their_label"))
+        met = small.join(other, "bucket").where((F.col("label") != F.col("their_label")) & (F.col("key") < F.col("their_key")) & near)
+        more = as_pairs(met)
+        deeper = depth < DEEPEST and not large.isEmpty()
+        if deeper:
+            more = more.union(as_pairs(with_leader(large))).distinct()
+        more = stage_table(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs", shrink=4)
         if not more.isEmpty():
-            new = stage_table(verify(more), "near-links")
+            new = verify(more)
             pairs = pairs.union(more)
             if not new.isEmpty():
                 links = links.union(new)
                 labels = _components(links)
-        low, high = high, high * 8
+        if not deeper:
+            break
+        again = large.drop("label", "held").join(members.select("key", F.col("bucket").alias("next")), "key").where(F.col("next") > F.col("last"))
+        again = again.select(F.xxhash64("bucket", "next").alias("bucket"), "key", "marks", "meets", F.col("next").alias("last"))
+        shared = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+        level = stage_table(again.join(shared, "bucket"), "near-members", shrink=4)
     named = texts.select("key", "first", "n_rows").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     classes = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("n_rows").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
-    named = stage_table(named.select("key", "label").join(classes, "label").select("key", "first", "class_size", "n_texts"), "near-classes")
+    named = stage_table(named.select("key", "label").join(classes, "label").select("key", "first", "class_size", "n_texts"), "near-classes", shrink=4)
     out = sketches.select("doc_id", "key", "uid").join(named, "key")
     return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_texts", (F.col("uid") == F.col("first.uid")).alias("kept"))
 
