@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from verisheaf.llm import decontamination, exact_dedup, html_text, licenses, mixing, near_dedup, quality, toxicity
+from verisheaf.llm import decontamination, exact_dedup, html_text, licenses, mixing, near_dedup, quality, token_counts, token_output, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_near_duplicates": near_dedup.op1_near_duplicates,
+        "op2_token_output": token_output.op2_token_output,
         "op3_quality": quality.op3_quality,
+        "op4_token_counts": token_counts.op4_token_counts,
         "op5_html_text": html_text.op5_html_text,
         "op6_decontaminate": decontamination.op6_decontaminate,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
