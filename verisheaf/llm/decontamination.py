@@ -67,7 +67,7 @@ def contaminated(
         F.floor(F.log2(q)).cast("int").alias("part"),
         F.slice(F.array_sort("hashes"), 1, (F.floor(q * F.lit(1 - threshold) + 1e-9) + 1).cast("int")).alias("sketch"),
     )
-    index = stage_table(index, "leak-items")
+    index = stage_table(index, "leak-items", shrink=8)
     sketch = index.select("item_key", "part", F.explode("sketch").alias("hash"))
     bounds = sketch.groupBy("part").agg(F.max("hash").alias("bound"))
     bound = bounds.agg(F.max("bound")).first()[0]
@@ -77,7 +77,7 @@ def contaminated(
     # Hashes above every partition's bound can meet no sketch; within it the join decides.
     seen = seen.where(F.col("hash") <= F.lit(bound if bound is not None else -(2**63)).cast("long"))
     found = seen.join(sketch, "hash").groupBy("doc_id", "text_key", "item_key").agg(F.count(F.lit(1)).alias("hits"))
-    found = stage_table(found.drop("hits"), "leak-found")
+    found = stage_table(found.drop("hits"), "leak-found", shrink=8)
     texts = base.join(found.select("doc_id", "text_key").distinct().select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")), F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left_semi")
     texts = texts.select(F.col("doc_id").alias("held_id"), F.col("text_key").alias("held_key"), shingle_texts("doc_words", width).alias("doc_shingles"))
     pairs = found.join(index.select("item_key", "item_id", "item_shingles"), "item_key")
@@ -94,6 +94,14 @@ def contaminated(
     return best.select("doc_id", "item_id", "best.n_shared", "best.n_item", "best.containment", "text_key")
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without those that contain an item, all columns as they were. Cases as in contaminated."""
+    found = contaminated(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__of")).distinct()
+    found = stage_table(found, "leak-rows", shrink=8)
+    marked = docs.withColumn("__key", F.md5(F.array_join(words_of(text_col), " ")))
+    return marked.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left_anti").select(*docs.columns)
+
+
 def op6_decontaminate(spark, sf_dir):
     found = contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.drop("text_key")

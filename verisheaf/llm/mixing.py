@@ -26,7 +26,7 @@ SEED = "mix"
 
 @dataclass
 class Mix:
-    """decisions: a row per document (doc_id, size, source_size, target, taken, copies, first_finish);
+    """decisions: a row per document (doc_id, size, source_size, target, taken, copies, first_finish, text_key, source_key);
     budget: words in all; cut: the virtual finish time of the last entry taken."""
 
     decisions: DataFrame
@@ -114,6 +114,7 @@ def mix_sources(
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~")).alias("source_key"),
         size.alias("size"),
+        F.xxhash64(text_of(text_col)).alias("text_key"),
     )
     base = base.withColumn("hash", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     base = base.withColumn("slice", F.conv(F.substring("hash", 1, 3), 16, 10).cast("int"))
@@ -126,7 +127,7 @@ def mix_sources(
     starts = starts.join(goal, "source_key")
     inside = Window.partitionBy("source_key", "slice").orderBy("hash", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = base.join(starts, ["source_key", "slice"]).withColumn("end", F.col("start") + F.sum("size").over(inside))
-    placed = placed.select("doc_id", "source_key", "hash", "size", "source_size", "target", "end")
+    placed = placed.select("doc_id", "text_key", "source_key", "hash", "size", "source_size", "target", "end")
     placed = stage_table(placed, "mix-placed", shrink=8)
     times = [((F.lit(k) * F.col("source_size") + F.col("end")) / F.col("target")) for k in range(epochs)]
     entries = placed.where("size > 0 and target > 0").select(
@@ -155,10 +156,25 @@ def mix_sources(
         (F.col("size") * F.col("copies")).cast("long").alias("taken"),
         F.col("copies").cast("int").alias("copies"),
         (F.when(F.col("target") > 0, times[0])).alias("first_finish"),
+        "text_key",
+        "source_key",
     )
     return Mix(out, budget, low)
 
 
+def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """docs as often as the mix takes them, all columns as they were. Cases as in mix_sources."""
+    taken = mix_sources(docs, id_col, source_col, text_col, **options).decisions.where("copies > 0")
+    name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~"))
+    taken = taken.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__of"), F.col("source_key").alias("__source")).agg(F.sum("copies").cast("int").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    taken = stage_table(taken, "mix-taken", shrink=4)
+    marked = docs.withColumn("__key", F.xxhash64(text_of(text_col))).withColumn("__name", name)
+    out = marked.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")) & (F.col("__name") == F.col("__source")))
+    if not taken.where("__rows > 1").isEmpty():  # rows that repeat id, text and source were counted together
+        out = out.dropDuplicates([id_col, "__key", "__name"])
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*docs.columns)
+
+
 def op10_mix_sources(spark, sf_dir):
     return mix_sources(read_table(spark, sf_dir, "documents")).decisions.select("doc_id", "size", "source_size", "target", "taken")
 

@@ -207,6 +207,15 @@ def _components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _normalised(text_col: str):
+    return F.trim(F.regexp_replace(text_of(text_col), WHITE, " "))
+
+
+def text_key(text_col: str = "text"):
+    """MD5 of the text with single spaces: what tells different texts apart."""
+    return F.unhex(F.md5(_normalised(text_col)))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -217,7 +226,7 @@ def near_duplicates(
     rows: int = ROWS,
 ) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size (rows of the class),
-    n_texts (different texts of the class) and kept (the one row of the class that stays).
+    n_texts (different texts of the class), kept (the one row of the class that stays) and text_key.
 
     Texts are compared after runs of white space became one space. Rows of equal text are one text from the start, by
     MD5 of the normalised text; different texts are linked when their probability Jaccard similarity over weighted
@@ -234,8 +243,7 @@ def near_duplicates(
     ids are larger than all others; a class of null ids alone has class_id null. Rows repeated with the same id and
     text: one stays. Empty input gives no rows. Extra columns are ignored.
     """
-    norm = F.trim(F.regexp_replace(text_of(text_col), WHITE, " "))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), _normalised(text_col).alias("norm"))
     base = base.select("doc_id", F.unhex(F.md5("norm")).alias("key"), "norm")
     numbered = base.withColumn("uid", F.monotonically_increasing_id())  # written once, so that repeated rows differ
     sketches = numbered.mapInArrow(sketcher(bands, rows, width), "doc_id long, key binary, uid long, bands array<long>, marks array<long>")
@@ -302,8 +310,20 @@ def near_duplicates(
     classes = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("n_rows").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
     named = stage_table(named.select("key", "label").join(classes, "label").select("key", "first", "class_size", "n_texts"), "near-classes", shrink=4)
     out = sketches.select("doc_id", "key", "uid").join(named, "key")
-    return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_texts", (F.col("uid") == F.col("first.uid")).alias("kept"))
+    return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_texts", (F.col("uid") == F.col("first.uid")).alias("kept"), F.col("key").alias("text_key"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each class, all columns as they were. Cases as in near_duplicates."""
+    found = stage_table(near_duplicates(docs, id_col, text_col, **options), "near-kept")
+    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__of"))
+    marked = docs.withColumn("__key", text_key(text_col))
+    out = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left_semi")
+    again = found.where("not kept").join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__of")), "left_semi")
+    if not again.isEmpty():  # rows that repeat both the id and the text of one that stays
+        out = out.dropDuplicates([id_col, "__key"])
+    return out.select(*docs.columns)
 
 
 def op1_near_duplicates(spark, sf_dir):
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).drop("text_key")

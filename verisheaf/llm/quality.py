@@ -170,6 +170,12 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", host_co
     return out.select(*docs.columns, p.alias("__doc_score"), "__host_mean", prior.alias("__path_mean"), (1 / (1 + F.exp(-(F.col("__odds") + shift)))).alias("__score"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+    """docs without those that the classifier, trained on labels, rejects; all columns as they were."""
+    model = train(docs, labels, id_col, text_col)
+    return score_quality(docs, model, text_col, host_col, path_col).where("__score >= 0.5").select(*docs.columns)
+
+
 def op3_quality(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     out = score_quality(docs.select("doc_id", "text", "source", "lang"), train(docs, read_table(spark, sf_dir, "labels")))
