@@ -13,16 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisheaf.llm.common import SPACE, WHITE, mix64, read_table, shingle_hashes, stage_table, text_buffer, text_of, word_hashes
+from verisheaf.llm.common import SPACE, mix64, read_table, shingle_hashes, stage_table, text_buffer, text_of, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
-#: A pair at the threshold shares a band with probability 1 - (1 - 0.8^4)^24, all but 3 in a million.
-BANDS, ROWS = 24, 4
+#: A pair at the threshold shares a band with probability 1 - (1 - 0.8^5)^30, all but 7 in a million. More registers
+#: than the bands take make the estimate sharper that decides which candidates are compared in full.
+BANDS, ROWS, REGISTERS = 30, 5, 240
 #: Bytes of text hashed at once, which bounds a worker's memory unless one text is longer.
 SLICE_BYTES = 1 << 21
-#: Buckets of at most so many texts are compared in full where they hold several classes; larger ones are cut finer by
-#: a further band, so many times at most.
-SMALL, DEEPEST = 256, 4
+#: A bucket in which several classes meet in at most so many pairs is compared in full; a larger one is cut finer by a
+#: further band, so many times at most.
+SMALL, DEEPEST = 1 << 17, 4
 
 _STEP = 0xD1342543DE82EF95
 
@@ -100,9 +101,9 @@ def differing(a: str, b: str, words: int):
 
 
 def most_differing(m: int, threshold: float) -> int:
-    """A pair at the threshold differs in more registers once in a million times (five standard deviations)."""
+    """A pair at the threshold differs in more registers a few times in a million (4.5 standard deviations)."""
     p = (1 - threshold) * 15 / 16
-    return int(np.ceil(m * p + 5 * np.sqrt(m * p * (1 - p))))
+    return int(np.ceil(m * p + 4.5 * np.sqrt(m * p * (1 - p))))
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES):
@@ -115,7 +116,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES):
         at = to
 
 
-def sketcher(bands: int, rows: int, width: int):
+def sketcher(bands: int, rows: int, registers: int, width: int):
     """For mapInArrow: (doc_id, key, norm, uid) to (doc_id, key, uid, bands, marks); bands is empty where there is no
     word. marks holds four bits of each register."""
 
@@ -126,7 +127,7 @@ def sketcher(bands: int, rows: int, width: int):
                 raw, offsets = text_buffer(text.slice(at, to - at))
                 parts = _weighted(raw, offsets, width)
                 n = to - at
-                signatures = prob_minhash(*parts, n, bands * rows)
+                signatures = prob_minhash(*parts, n, registers)
                 hashes, marks = band_hashes(signatures, bands, rows), four_bits(signatures)
                 some = np.bincount(parts[0], minlength=n) > 0
                 ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
@@ -208,11 +209,11 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def _normalised(text_col: str):
-    return F.trim(F.regexp_replace(text_of(text_col), WHITE, " "))
+    return F.trim(F.regexp_replace(F.lower(text_of(text_col)), r"[^\p{L}\p{N}]+", " "))
 
 
 def text_key(text_col: str = "text"):
-    """MD5 of the text with single spaces: what tells different texts apart."""
+    """MD5 of the words: what tells different texts apart."""
     return F.unhex(F.md5(_normalised(text_col)))
 
 
@@ -224,18 +225,20 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     bands: int = BANDS,
     rows: int = ROWS,
+    registers: int = REGISTERS,
 ) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size (rows of the class),
     n_texts (different texts of the class), kept (the one row of the class that stays) and text_key.
 
-    Texts are compared after runs of white space became one space. Rows of equal text are one text from the start, by
-    MD5 of the normalised text; different texts are linked when their probability Jaccard similarity over weighted
-    five-word shingles is at least the threshold. Classes are the connected components of the links.
+    Texts are compared as words: lower-case runs of letters and digits. Rows of the same words are one text from the
+    start, by MD5; different texts are linked when their probability Jaccard similarity over weighted five-word shingles
+    is at least the threshold. Classes are the connected components of the links.
 
     Candidates are texts that share a band of the signature and differ in no more registers than a pair at the threshold
-    does. In each bucket all members are compared with its leader, the member that meets most others over all its
-    buckets. Buckets that then still hold several classes are gone through again: small ones compare all members of
-    different classes, large ones only with a leader, and their members meet once more in the finer buckets that they
+    does. First each text is compared with one leader, the member of its buckets that meets most others over all its
+    buckets, as the original of a family of copies does. Then buckets that still hold several classes are gone through:
+    those outside the bucket's largest class are compared with all members of other classes, each pair in one bucket
+    only; where that is many, with the bucket's leader, and the members meet once more in the finer buckets that they
     share with a further band. What is large even then is compared in full, so no bucket is cut off, and the pairs
     within a class are never listed.
 
@@ -246,7 +249,7 @@ def near_duplicates(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), _normalised(text_col).alias("norm"))
     base = base.select("doc_id", F.unhex(F.md5("norm")).alias("key"), "norm")
     numbered = base.withColumn("uid", F.monotonically_increasing_id())  # written once, so that repeated rows differ
-    sketches = numbered.mapInArrow(sketcher(bands, rows, width), "doc_id long, key binary, uid long, bands array<long>, marks array<long>")
+    sketches = numbered.mapInArrow(sketcher(bands, rows, registers, width), "doc_id long, key binary, uid long, bands array<long>, marks array<long>")
     sketches = stage_table(sketches, "near-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     texts = sketches.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
@@ -254,12 +257,12 @@ def near_duplicates(
     members = texts.select("key", "marks", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stage_table(members.join(shared, "bucket"), "near-members", shrink=4)
-    central = members.groupBy("key").agg(F.sum("n").alias("meets"))
-    members = stage_table(members.join(central, "key").select("bucket", "key", "marks", "meets"), "near-members", shrink=4)
+    central = members.groupBy("key").agg(F.sum("n").alias("meets"), F.collect_list("bucket").alias("shared"))
+    members = stage_table(members.join(central, "key").select("bucket", "key", "marks", "meets", "shared"), "near-members", shrink=4)
     wanted = members.select("key").distinct().join(texts.select("key", F.col("first.doc_id").alias("doc_id")), "key")
     held = base.join(wanted, (base["key"] == wanted["key"]) & base["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     held = stage_table(held.select("key", "norm").dropDuplicates(["key"]), "near-held")
-    near = differing("marks", "their_marks", -(-bands * rows // 16)) <= most_differing(bands * rows, threshold)
+    near = differing("marks", "their_marks", -(-registers // 16)) <= most_differing(registers, threshold)
 
     def verify(pairs: DataFrame) -> DataFrame:
         full = pairs.join(held.select(F.col("key").alias("b"), F.col("norm").alias("text_b")), "b")
@@ -275,20 +278,28 @@ def near_duplicates(
     def as_pairs(met: DataFrame) -> DataFrame:
         return met.select(F.greatest("key", "their_key").alias("a"), F.least("key", "their_key").alias("b")).distinct()
 
-    pairs = stage_table(as_pairs(with_leader(members.withColumn("label", F.col("key")))), "near-pairs", shrink=4)
+    heads = members.groupBy("bucket").agg(F.max(F.struct("meets", "key", "marks")).alias("lead"))
+    chosen = members.select("bucket", "key", "marks").join(heads, "bucket").groupBy("key").agg(F.first("marks").alias("marks"), F.max("lead").alias("lead"))
+    chosen = chosen.select("key", "marks", F.col("lead.key").alias("their_key"), F.col("lead.marks").alias("their_marks")).where((F.col("key") != F.col("their_key")) & near)
+    pairs = stage_table(as_pairs(chosen), "near-pairs", shrink=4)
     links = verify(pairs)
     labels = _components(links)
-    level = members.select("bucket", "key", "marks", "meets", F.col("bucket").alias("last"))
+    level = members.select("bucket", "key", "marks", "meets", "shared", F.col("bucket").alias("last"))
     for depth in range(1, DEEPEST + 1):
         marked = level.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("held")).where("x <> y")
-        mixed = stage_table(marked.join(mixed.select("bucket", "held"), "bucket"), "near-mixed", shrink=4)
+        kinds = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = kinds.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("held"))
+        mixed = mixed.where(F.col("held") > F.col("most.n")).select("bucket", F.col("most.label").alias("main"), ((F.col("held") - F.col("most.n")) * F.col("held")).alias("work"))
+        mixed = stage_table(marked.join(mixed, "bucket"), "near-mixed", shrink=4)
         if mixed.isEmpty():
             break
-        small = mixed if depth == DEEPEST else mixed.where(F.col("held") <= SMALL)
-        large = mixed.where(F.col("held") > SMALL)
-        other = small.select("bucket", F.col("key").alias("their_key"), F.col("marks").alias("their_marks"), F.col("label").alias("their_label"))
-        met = small.join(other, "bucket").where((F.col("label") != F.col("their_label")) & (F.col("key") < F.col("their_key")) & near)
+        small = mixed if depth == DEEPEST else mixed.where(F.col("work") <= SMALL)
+        large = mixed.where(F.col("work") > SMALL)
+        other = small.where("label <> main").select("bucket", *[F.col(c).alias(f"their_{c}") for c in ("key", "marks", "label", "shared")])
+        once = (F.col("label") == F.col("main")) | (F.col("key") < F.col("their_key"))
+        met = small.join(other, "bucket").where((F.col("label") != F.col("their_label")) & once & near)
+        if depth == 1:  # a pair that shares several buckets is met in the first of them alone
+            met = met.where(F.array_min(F.array_intersect("shared", "their_shared")) == F.col("bucket"))
         more = as_pairs(met)
         deeper = depth < DEEPEST and not large.isEmpty()
         if deeper:
@@ -302,8 +313,8 @@ def near_duplicates(
                 labels = _components(links)
         if not deeper:
             break
-        again = large.drop("label", "held").join(members.select("key", F.col("bucket").alias("next")), "key").where(F.col("next") > F.col("last"))
-        again = again.select(F.xxhash64("bucket", "next").alias("bucket"), "key", "marks", "meets", F.col("next").alias("last"))
+        again = large.select("key", "marks", "meets", "shared", "bucket", F.col("last"), F.explode("shared").alias("next")).where(F.col("next") > F.col("last"))
+        again = again.select(F.xxhash64("bucket", "next").alias("bucket"), "key", "marks", "meets", "shared", F.col("next").alias("last"))
         shared = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
         level = stage_table(again.join(shared, "bucket"), "near-members", shrink=4)
     named = texts.select("key", "first", "n_rows").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
