@@ -25,12 +25,13 @@ TEXT_BYTES = 1 << 25
 
 
 def write_flat(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write flat files of 16-bit ids, each text followed by end_id, in ascending order of id_col, and return their
-    list: (file, part, seq, n_docs, n_ids). A file is written under a name of its own and counts only if it is in the
-    list, so tasks that are run again do no harm.
+    """Write flat files of 16-bit ids, each text followed by end_id, where the documents are, without a shuffle, and
+    return their list: (file, doc_ids in order, n_ids). A file is written under a name of its own and counts only if it
+    is in the list, so tasks that are run again do no harm.
 
     The end id must stand for nothing else: strings of special tokens are encoded as ordinary text. Null texts are
-    empty. Rows that repeat an id stay. Empty input writes nothing. A text longer than a file makes a longer file.
+    empty. Rows that repeat an id stay, null ids too. Empty input writes nothing. A text longer than a file makes a
+    longer file.
     """
     tokenizer = tokenizer or default_tokenizer()
 
@@ -40,38 +41,33 @@ def write_flat(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         encoder = WordEncoder(tokenizer, plain_specials=True)
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
-        part, seq = 0, 0
         held: list = []
-        docs_held = 0
+        doc_ids: list = []
 
         def flush():
-            nonlocal seq, docs_held
             ids = np.concatenate(held)
             if len(ids) and int(ids.max()) > 0xFFFF:
                 raise ValueError("an id needs more than 16 bits")
-            name = f"part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.u16"
+            name = f"{uuid.uuid4().hex}.u16"
             with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(ids.astype("<u2").tobytes())
-            done = pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([docs_held], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
-            seq, docs_held = seq + 1, 0
+            done = pa.RecordBatch.from_pydict({"file": [name], "doc_ids": pa.array([list(doc_ids)], pa.list_(pa.int64())), "n_ids": pa.array([len(ids)], pa.int64())})
             held.clear()
+            doc_ids.clear()
             return done
 
         for batch in batches:
-            part = batch.column(0)[0].as_py() if len(batch) else part
             for at, to in slices(batch.column(1), min(TEXT_BYTES, file_bytes)):
                 ids, _ = encoder.encode(batch.column(1).slice(at, to - at), end_id)
                 held.append(ids)
-                docs_held += to - at
+                doc_ids.extend(batch.column(0).slice(at, to - at).to_pylist())
                 if sum(map(len, held)) * 2 >= file_bytes:
                     yield flush()
         if held:
             yield flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("part"), "text")
-    files = rows.mapInArrow(written, "file string, part int, seq int, n_docs long, n_ids long")
-    return stage_table(files, "flat-files")
+    return stage_table(rows.mapInArrow(written, "file string, doc_ids array<long>, n_ids long"), "flat-files")
 
 
 def flat_blocks(spark: SparkSession, path: str, files: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -123,12 +119,9 @@ def count_tokens(blocks: DataFrame, end_id: int = END_ID, id_bytes: int = 2) ->
 
 
 def op4_token_counts(spark, sf_dir):
-    """Documents in ascending order of doc_id: doc_number (from 0), start (ids before it), n_tokens."""
+    """Per document, from the flat files: doc_id, n_tokens (with the end id) and start (ids before it in its file)."""
     path = stage_path(spark, "flat")
     files = write_flat(read_table(spark, sf_dir, "documents"), path)
     counts = count_tokens(flat_blocks(spark, path, files))
-    # The files follow one another in order of partition; there is a row for each.
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("file", F.coalesce(F.sum("n_docs").over(order), F.lit(0)).alias("docs_before"), F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("ids_before"))
-    out = counts.join(stage_table(bases, "flat-bases", shrink=1 << 30), "file")
-    return out.select((F.col("docs_before") + F.col("doc_in_file")).alias("doc_number"), (F.col("ids_before") + F.col("start")).alias("start"), "n_tokens")
+    names = files.select("file", F.posexplode("doc_ids").alias("doc_in_file", "doc_id"))
+    return counts.join(names.withColumn("doc_in_file", F.col("doc_in_file").cast("long")), ["file", "doc_in_file"], "full_outer").select("doc_id", "n_tokens", "start")

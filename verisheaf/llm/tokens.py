@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker remembers; beyond, it forgets all.
-REMEMBERED = 400_000
+REMEMBERED = 2_000_000
 
 
 def default_tokenizer() -> str:
@@ -32,23 +32,23 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if plain_specials:
             self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
         self.ends = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-            self.ends, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+    def _learn(self, words: pa.Array) -> None:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         found, lengths = [], []
-        for at in range(0, len(words), 20_000):
-            for e in encode(words[at : at + 20_000], add_special_tokens=False):
+        listed = words.to_pylist()
+        for at in range(0, len(listed), 20_000):
+            for e in encode(listed[at : at + 20_000], add_special_tokens=False):
                 ids = e.ids
                 found.extend(ids)
                 lengths.append(len(ids))
-        base = len(self.known)
-        self.known.update(zip(words, range(base, base + len(words)), strict=True))
+        self.known = pa.concat_arrays([self.known, words])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.array(lengths, dtype=np.int64))])
         self.ids = np.concatenate([self.ids, np.array(found, dtype=np.uint32)])
 
@@ -62,13 +62,20 @@ class WordEncoder:
         rows = len(column)
         cuts = np.asarray(lists.offsets)
         cuts = cuts - cuts[0]
-        different = words.dictionary.to_pylist()
-        new = [w for w in different if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                new = different
-            self._learn(new)
-        number = np.fromiter((self.known[w] for w in different), dtype=np.int64, count=len(different))
+        different = words.dictionary.cast(pa.large_string())
+        number = pc.index_in(different, value_set=self.known)
+        if number.null_count:
+            if len(self.known) + number.null_count > REMEMBERED:
+                self._forget()
+                self._learn(different)
+                number = pa.array(np.arange(len(different), dtype=np.int32))
+            else:
+                new, before = different.filter(number.is_null()), len(self.known)
+                self._learn(new)
+                filled = np.asarray(number.fill_null(-1)).copy()
+                filled[filled < 0] = before + np.arange(len(new))
+                number = pa.array(filled)
+        number = np.asarray(number).astype(np.int64)
         codes = number[np.asarray(words.indices)] if len(different) else np.zeros(0, dtype=np.int64)
         lengths = np.insert(self.ends[codes + 1] - self.ends[codes], cuts[1:], 1)
         starts = np.insert(self.ends[codes], cuts[1:], len(self.ids))
