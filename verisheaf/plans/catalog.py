@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    return []
+    from verisheaf.plans import io_plans, pair_plans, quality_plans, stats_plans, text_plans
+
+    return [io_plans, pair_plans, quality_plans, stats_plans, text_plans]
 
 
 def queries() -> dict:
