@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def mean(value: Column) -> Column:
@@ -145,7 +146,7 @@ def mcnemar(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return out.withColumn("statistic", F.coalesce(F.try_divide(F.pow(F.abs(F.col("n01") - F.col("n10")) - 1, F.lit(2)).cast("double"), off), F.lit(0.0)))
 
 
-@F.udf("double")
+@F.udf(T.DoubleType())
 def chi2_p(statistic: float | None) -> float | None:
     """Tail of the chi-squared law with one degree of freedom; there is no error function in SQL, and rows are few."""
     return None if statistic is None else math.erfc(math.sqrt(statistic / 2))

@@ -37,7 +37,8 @@ def streamed_latest(spark, sf):
 
 def streamed_windows(spark, sf):
     """Counts and sums of hourly windows with a watermark, over the events as a stream, read to its end."""
-    return _finished(spark, ST.windowed_counts(_events(spark, sf), "ts", "event_type", "1 hour", "1 hour").withColumn("total", F.round("total", 6)), "complete")
+    events = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _finished(spark, ST.windowed_counts(events, "ts", "event_type", "1 hour", "1 hour").withColumn("total", F.round("total", 6)).withColumn("start", F.col("start").cast("timestamp_ntz")), "complete")
 
 
 def _events(spark, sf):
