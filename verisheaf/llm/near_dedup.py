@@ -162,48 +162,73 @@ def similarity(a_hash, a_weight, b_hash, b_weight) -> float:
     return float(np.sum(b[ia] / (mine * below_a[k] + below_b[-1] - below_b[k])))
 
 
+#: Words of a bitmap of shingles that a text has and its leader lacks, or the other way.
+DELTA_WORDS = 8
+_PAIR = "a long, b long, similarity double, plain boolean, size int, leader_size int, extra int, delta array<long>"
+
+
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(DELTA_WORDS, dtype=np.uint64)
+    bit = mix64(hashes) % np.uint64(64 * DELTA_WORDS)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
 def verifier(width: int, threshold: float):
-    """For mapInArrow: (a, b, text_a, text_b) to the (a, b, similarity) of pairs at or above the threshold."""
+    """For mapInArrow: (a, b, text_a, text_b) to _PAIR with the exact similarity of each pair. delta holds a bitmap of the
+    shingles of a that b lacks and one of those of b that a lacks; plain says that no shingle occurs twice."""
 
     def run(batches):
         for batch in batches:
-            found = []
-            last: tuple = (None, None)
+            out: list[list] = [[] for _ in range(6)]
             left, right = batch.column(2), batch.column(3)
-            keys = batch.column(0).to_pylist()
-            for at, to in slices(right):
-                raw, offsets = text_buffer(right.slice(at, to - at))
+            leaders = batch.column(1).to_pylist()
+            last: tuple = (None, None, None)
+            for at, to in slices(left):
+                raw, offsets = text_buffer(left.slice(at, to - at))
                 rows, hashes, weights = _weighted(raw, offsets, width)
                 cut = np.searchsorted(rows, np.arange(to - at + 1))
                 for i in range(at, to):
-                    if keys[i] != last[0]:
-                        _, h, w = _weighted(*text_buffer(left.slice(i, 1)), width)
-                        last = (keys[i], (h, w))
+                    if leaders[i] != last[0]:
+                        _, h, w = _weighted(*text_buffer(right.slice(i, 1)), width)
+                        last = (leaders[i], h, w)
                     lo, hi = cut[i - at], cut[i - at + 1]
-                    s = similarity(*last[1], hashes[lo:hi], weights[lo:hi])
-                    if s >= threshold - 1e-12:
-                        found.append((i, s))
-            if found:
-                take = pa.array([i for i, _ in found])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([s for _, s in found])], ["a", "b", "similarity"])
+                    h, w = hashes[lo:hi], weights[lo:hi]
+                    extra = np.setdiff1d(h, last[1], assume_unique=True)
+                    missing = np.setdiff1d(last[1], h, assume_unique=True)
+                    for k, v in enumerate((similarity(h, w, last[1], last[2]), bool((w == 1).all() and (last[2] == 1).all()), len(h), len(last[1]), len(extra), np.concatenate([_bitmap(missing), _bitmap(extra)]).view(np.int64))):
+                        out[k].append(v)
+            kinds = (pa.float64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], ["a", "b", "similarity", "plain", "size", "leader_size", "extra", "delta"])
 
     return run
 
 
+def may_reach(threshold: float):
+    """Whether two texts that were compared with one leader can be as similar as the threshold. What both share with the
+    leader is at most what neither lacks, and what they share beyond it at most what their extras overlap; bitmaps
+    bound both from above, so no pair is lost. Columns: those of a text, and with their_ in front those of another."""
+    union = lambda at: sum((F.bit_count(F.col("delta")[k].bitwiseOR(F.col("their_delta")[k])) for k in range(at, at + DELTA_WORDS)), F.lit(0))
+    most = F.col("leader_size") - union(0) + F.col("extra") + F.col("their_extra") - union(DELTA_WORDS)
+    fits = most >= F.lit(threshold) * (F.col("size") + F.col("their_size") - most) - F.lit(1e-9)
+    known = F.col("plain") & F.col("their_plain") & (F.col("leader") == F.col("their_leader"))
+    return ~F.coalesce(known, F.lit(False)) | fits
+
+
 def _components(links: DataFrame) -> DataFrame:
-    """(key, label) for every key of links (a, b): the smallest key it is connected with. Labels travel along links and
+    """(id, label) for every id of links (a, b): the smallest id it is connected with. Labels travel along links and
     then follow their own label, so chains shorten by half each round."""
     both = stage_table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links", shrink=8)
-    labels = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")).select("key", F.least("key", "near").alias("label"))
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("label"))
     labels = stage_table(labels, "near-labels", shrink=8)
     while True:
-        near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "key").select("key", "label", F.least("label", "near").alias("new"))
-        jump = step.select(F.col("key").alias("new"), F.col("new").alias("far"))
-        step = step.join(jump, "new").select("key", "label", F.least("new", "far").alias("new"))
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
+        jump = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
+        step = step.join(jump, "new").select("id", "label", F.least("new", "far").alias("new"))
         step = stage_table(step, "near-labels", shrink=8)
         changed = step.where("new <> label").limit(1).count()
-        labels = step.select("key", F.col("new").alias("label"))
+        labels = step.select("id", F.col("new").alias("label"))
         if not changed:
             return labels
 
@@ -237,8 +262,8 @@ def near_duplicates(
     Candidates are texts that share a band of the signature and differ in no more registers than a pair at the threshold
     does. First each text is compared with one leader, the member of its buckets that meets most others over all its
     buckets, as the original of a family of copies does. Then buckets that still hold several classes are gone through:
-    those outside the bucket's largest class are compared with all members of other classes, each pair in one bucket
-    only; where that is many, with the bucket's leader, and the members meet once more in the finer buckets that they
+    those outside the bucket's largest class are compared with all members of other classes that their differences from a
+    common leader don't rule out; where that is many, with the bucket's leader, and the members meet once more in the finer buckets that they
     share with a further band. What is large even then is compared in full, so no bucket is cut off, and the pairs
     within a class are never listed.
 
@@ -253,40 +278,57 @@ def near_duplicates(
     sketches = stage_table(sketches, "near-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     texts = sketches.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-    texts = stage_table(texts, "near-texts")
-    members = texts.select("key", "marks", F.explode("bands").alias("bucket"))
+    texts = stage_table(texts.withColumn("id", F.col("first.uid")), "near-texts")
+    members = texts.select("id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stage_table(members.join(shared, "bucket"), "near-members", shrink=4)
-    central = members.groupBy("key").agg(F.sum("n").alias("meets"), F.collect_list("bucket").alias("shared"))
-    members = stage_table(members.join(central, "key").select("bucket", "key", "marks", "meets", "shared"), "near-members", shrink=4)
-    wanted = members.select("key").distinct().join(texts.select("key", F.col("first.doc_id").alias("doc_id")), "key")
-    held = base.join(wanted, (base["key"] == wanted["key"]) & base["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    held = stage_table(held.select("key", "norm").dropDuplicates(["key"]), "near-held")
+    central = members.groupBy("id").agg(F.sum("n").alias("meets"))
+    central = stage_table(central.join(texts.select("id", "key", F.col("first.doc_id").alias("doc_id"), "marks"), "id"), "near-central", shrink=4)
+    members = members.select("bucket", "id")
+    wanted = central.select(F.col("id"), F.col("key").alias("of"), F.col("doc_id").alias("at_id"))
+    held = base.join(wanted, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
+    held = stage_table(held.select("id", "norm").dropDuplicates(["id"]), "near-held")
     near = differing("marks", "their_marks", -(-registers // 16)) <= most_differing(registers, threshold)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(held.select(F.col("key").alias("b"), F.col("norm").alias("text_b")), "b")
-        full = full.join(held.select(F.col("key").alias("a"), F.col("norm").alias("text_a")), "a")
-        found = full.select("a", "b", "text_a", "text_b").mapInArrow(verifier(width, threshold), "a binary, b binary, similarity double")
-        return stage_table(found, "near-links", shrink=4)
+    def theirs(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c).alias(c if c == "bucket" else f"their_{c}") for c in df.columns])
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(held.select(F.col("id").alias("a"), F.col("norm").alias("text_a")), "a")
+        full = full.join(held.select(F.col("id").alias("b"), F.col("norm").alias("text_b")), "b")
+        return stage_table(full.select("a", "b", "text_a", "text_b").mapInArrow(verifier(width, threshold), _PAIR), "near-compared", shrink=4)
 
     def with_leader(of: DataFrame) -> DataFrame:
-        best = of.groupBy("bucket").agg(F.max(F.struct("meets", "key", "marks", "label")).alias("lead"))
-        best = best.select("bucket", F.col("lead.key").alias("their_key"), F.col("lead.marks").alias("their_marks"), F.col("lead.label").alias("their_label"))
-        return of.join(best, "bucket").where((F.col("label") != F.col("their_label")) & near)
+        """Each member of a bucket with the bucket's leader, if that is of another class."""
+        heads = of.join(central.select("id", "meets"), "id").groupBy("bucket").agg(F.max(F.struct("meets", "id", "label")).alias("lead"))
+        met = of.join(heads.select("bucket", F.col("lead.id").alias("their_id"), F.col("lead.label").alias("their_label")), "bucket").where("label <> their_label")
+        return marked_pairs(met.select("id", "their_id").distinct())
 
-    def as_pairs(met: DataFrame) -> DataFrame:
-        return met.select(F.greatest("key", "their_key").alias("a"), F.least("key", "their_key").alias("b")).distinct()
+    def marked_pairs(met: DataFrame) -> DataFrame:
+        marks = central.select("id", "marks")
+        return met.join(marks, "id").join(theirs(marks), "their_id").where(near).select("id", "their_id")
 
-    heads = members.groupBy("bucket").agg(F.max(F.struct("meets", "key", "marks")).alias("lead"))
-    chosen = members.select("bucket", "key", "marks").join(heads, "bucket").groupBy("key").agg(F.first("marks").alias("marks"), F.max("lead").alias("lead"))
-    chosen = chosen.select("key", "marks", F.col("lead.key").alias("their_key"), F.col("lead.marks").alias("their_marks")).where((F.col("key") != F.col("their_key")) & near)
-    pairs = stage_table(as_pairs(chosen), "near-pairs", shrink=4)
-    links = verify(pairs)
+    def as_pairs(met: DataFrame) -> DataFrame:
+        return met.select(F.greatest("id", "their_id").alias("a"), F.least("id", "their_id").alias("b")).distinct()
+
+    heads = members.join(central.select("id", "meets"), "id").groupBy("bucket").agg(F.max(F.struct("meets", "id")).alias("lead"))
+    chosen = members.join(heads, "bucket").groupBy("id").agg(F.max("lead").alias("lead")).select("id", F.col("lead.id").alias("their_id"))
+    chosen = stage_table(chosen, "near-leaders", shrink=4)
+    first_pairs = marked_pairs(chosen.where("id <> their_id")).select(F.col("id").alias("a"), F.col("their_id").alias("b"))
+    met = compared(first_pairs)
+    # What is known of each text by its leader; a leader differs from itself in nothing.
+    profile = met.select(F.col("a").alias("id"), F.col("b").alias("leader"), "plain", "size", "leader_size", "extra", "delta")
+    itself = met.groupBy(F.col("b").alias("id")).agg(F.bool_and("plain").alias("plain"), F.first("leader_size").alias("size"))
+    itself = itself.join(profile.select("id"), "id", "left_anti")
+    nothing = F.array_repeat(F.lit(0).cast("long"), 2 * DELTA_WORDS)
+    profile = profile.unionByName(itself.select("id", F.col("id").alias("leader"), "plain", "size", F.col("size").alias("leader_size"), F.lit(0).alias("extra"), nothing.alias("delta")))
+    profile = stage_table(central.select("id", "marks").join(profile, "id", "left"), "near-profiles", shrink=4)
+    done = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = met.where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
     labels = _components(links)
-    level = members.select("bucket", "key", "marks", "meets", "shared", F.col("bucket").alias("last"))
+    level = members.withColumn("last", F.col("bucket"))
     for depth in range(1, DEEPEST + 1):
-        marked = level.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        marked = level.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         kinds = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = kinds.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("held"))
         mixed = mixed.where(F.col("held") > F.col("most.n")).select("bucket", F.col("most.label").alias("main"), ((F.col("held") - F.col("most.n")) * F.col("held")).alias("work"))
@@ -295,29 +337,27 @@ def near_duplicates(
             break
         small = mixed if depth == DEEPEST else mixed.where(F.col("work") <= SMALL)
         large = mixed.where(F.col("work") > SMALL)
-        other = small.where("label <> main").select("bucket", *[F.col(c).alias(f"their_{c}") for c in ("key", "marks", "label", "shared")])
-        once = (F.col("label") == F.col("main")) | (F.col("key") < F.col("their_key"))
-        met = small.join(other, "bucket").where((F.col("label") != F.col("their_label")) & once & near)
-        if depth == 1:  # a pair that shares several buckets is met in the first of them alone
-            met = met.where(F.array_min(F.array_intersect("shared", "their_shared")) == F.col("bucket"))
-        more = as_pairs(met)
+        small = small.select("bucket", "id", "label", "main").join(profile, "id")
+        other = theirs(small.where("label <> main").drop("main"))
+        once = (F.col("label") == F.col("main")) | (F.col("id") < F.col("their_id"))
+        more = as_pairs(small.join(other, "bucket").where((F.col("label") != F.col("their_label")) & once & near & may_reach(threshold)))
         deeper = depth < DEEPEST and not large.isEmpty()
         if deeper:
             more = more.union(as_pairs(with_leader(large))).distinct()
-        more = stage_table(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs", shrink=4)
+        more = stage_table(more.join(done, ["a", "b"], "left_anti"), "near-pairs", shrink=4)
         if not more.isEmpty():
-            new = verify(more)
-            pairs = pairs.union(more)
+            new = compared(more).where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
+            done = done.union(more)
             if not new.isEmpty():
                 links = links.union(new)
                 labels = _components(links)
         if not deeper:
             break
-        again = large.select("key", "marks", "meets", "shared", "bucket", F.col("last"), F.explode("shared").alias("next")).where(F.col("next") > F.col("last"))
-        again = again.select(F.xxhash64("bucket", "next").alias("bucket"), "key", "marks", "meets", "shared", F.col("next").alias("last"))
+        again = large.select("id", "bucket", "last").join(members.select("id", F.col("bucket").alias("next")), "id").where(F.col("next") > F.col("last"))
+        again = again.select(F.xxhash64("bucket", "next").alias("bucket"), "id", F.col("next").alias("last"))
         shared = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
         level = stage_table(again.join(shared, "bucket"), "near-members", shrink=4)
-    named = texts.select("key", "first", "n_rows").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = texts.select("key", "id", "first", "n_rows").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     classes = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("n_rows").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
     named = stage_table(named.select("key", "label").join(classes, "label").select("key", "first", "class_size", "n_texts"), "near-classes", shrink=4)
     out = sketches.select("doc_id", "key", "uid").join(named, "key")
