@@ -1,3 +1,10 @@
 """PySpark-native engine for building, auditing and scoring text-report datasets."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the executors by value, so they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
