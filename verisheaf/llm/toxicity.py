@@ -1,9 +1,10 @@
 """Operator 8: toxic passages by maximum-scoring segments.
 
 Tokens score their log odds of standing in toxic rather than clean text, with an informative Dirichlet prior, less a
-drift, so that clean text falls. A linear scan finds every maximal-scoring segment of a document. The scores of
-segments of clean text follow an extreme-value law (Karlin and Altschul), which turns each score into the number of
-such segments that clean text of that length would show; these numbers, added up, are calibrated on labelled documents.
+drift, so that clean text falls; the k-th time a word occurs in a document it scores a k-th of that. A linear scan finds
+every maximal-scoring segment of a document. The scores of segments of clean text follow an extreme-value law (Karlin
+and Altschul), which turns each score into the number of such segments that clean text of that length would show. The
+least likely of "so many segments at least so high" is the document's evidence, calibrated on labelled documents.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisheaf.llm.common import mix64, read_table, stage_table, text_buffer, text_of, word_hashes
+from verisheaf.llm.common import keep_on_disk, mix64, read_table, stage_table, text_buffer, text_of, word_hashes
 from verisheaf.llm.near_dedup import slices
 
 #: Bounds of the labelled sample: rows of either label, those of smallest MD5 of the id.
@@ -24,10 +25,11 @@ MOST_TOXIC, MOST_CLEAN = 5_000, 15_000
 #: Most tokens in the model, those furthest from chance.
 MOST_TOKENS = 50_000
 #: A token counts if its log odds are so many standard deviations from 0.
-LEAST_Z = 2.5
-#: Pseudo-documents of the Dirichlet prior, and what every token loses.
-PRIOR, DRIFT = 20.0, 0.5
-#: Segments of which clean text of that length would show fewer than this are significant.
+LEAST_Z = 3.0
+#: The Dirichlet prior counts as so many documents; every token loses DRIFT.
+PRIOR, DRIFT = 5.0, 0.5
+#: Segments of which clean text of that length would show fewer than this are significant, and so are, in a document
+#: whose evidence is that strong, those of which it would show fewer than one.
 SIGNIFICANT = 0.01
 #: Words unknown as such are known by their first letters, the longest first.
 STEMS = (6, 5, 4)
@@ -113,6 +115,14 @@ class Model:
             hit = open_ & (self.hashes[at] == hashes)
             out[hit] = self.odds[at[hit]]
             open_ &= ~hit
+        up = np.flatnonzero(out > DRIFT)
+        if len(up):  # the k-th time a word occurs in a row it says a k-th
+            row = np.searchsorted(counts, up, side="right")
+            order = np.lexsort((up, tokens[0][up], row))
+            same = np.zeros(len(up), dtype=bool)
+            same[1:] = (row[order][1:] == row[order][:-1]) & (tokens[0][up][order][1:] == tokens[0][up][order][:-1])
+            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(up))))
+            out[up[order]] /= np.arange(len(up)) - start + 1
         return out - DRIFT, counts
 
     def passages(self, scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -129,12 +139,15 @@ class Model:
         return [(int(up[(a + 1) // 2]), int(up[(b - 1) // 2]) + 1, s) for a, b, s in segments(row)]
 
     def evidence(self, n: int, found) -> float:
-        """Minus the logs of the expected numbers of segments as high, summed over the significant ones; if none is,
-        that of the best, which is at most a little above zero."""
-        least = math.log(self.size * max(n, 1))
-        each = [self.rate * s - least for _, _, s in found]
-        high = [e for e in each if e > -math.log(SIGNIFICANT)]
-        return sum(high) if high else min(max(each, default=-least), -math.log(SIGNIFICANT))
+        """Minus the log of the chance that clean text of n words shows as many segments as high, for the number of
+        segments for which that is least: the number of segments above a height is a Poisson count."""
+        best = 0.0
+        for r, s in enumerate(sorted((s for _, _, s in found), reverse=True)[:200], 1):
+            log_mean = math.log(self.size * max(n, 1)) - self.rate * s
+            if log_mean >= math.log(r):
+                continue
+            best = max(best, math.lgamma(r + 1) - r * log_mean + math.exp(log_mean))
+        return best
 
     def probability(self, evidence: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, self.intercept + self.slope * evidence))))
@@ -199,16 +212,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     nothing = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), fitted=False)
     if not n_toxic or not n_clean:
         return nothing
-    words = F.array_distinct(F.split("norm", " "))
     forms = [F.col("word"), *(F.when(F.length("word") > k, F.concat(F.lit(f"{k} "), F.substring("word", 1, k))) for k in STEMS)]
-    each = sample.select("doc_id", "toxic", F.explode(words).alias("word")).where("word <> ''")
-    each = each.select("doc_id", "toxic", F.explode(F.array_compact(F.array(*forms))).alias("token")).distinct()
+    # A word counts once for each pair of neighbours that it stands between, so copies of a document don't add up.
+    lists = sample.select("toxic", F.split("norm", " ").alias("words"))
+    placed = F.transform("words", lambda w, i: F.struct(w.alias("word"), F.xxhash64(F.get("words", i - 1), F.get("words", i + 1)).alias("between")))
+    each = lists.select("toxic", F.explode(placed).alias("p")).select("toxic", "p.word", "p.between").where("word <> ''").distinct()
+    each = keep_on_disk(each.select("toxic", "word"))
+    sums = {r.toxic: r["count"] for r in each.groupBy("toxic").count().collect()}
+    w_toxic, w_clean = sums.get(1, 0), sums.get(0, 0)
+    if not w_toxic or not w_clean:
+        return nothing
+    a = PRIOR * (w_toxic + w_clean) / (n_toxic + n_clean)  # in words
+    each = each.select("toxic", F.explode(F.array_compact(F.array(*forms))).alias("token"))
     seen = each.groupBy("token").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    prior = F.lit(PRIOR) * (F.col("t") + F.col("c")) / F.lit(n_toxic + n_clean)
-    seen = seen.withColumn("prior", prior)
-    odds = F.log((F.col("t") + F.col("prior")) / (n_toxic + PRIOR - F.col("t") - F.col("prior"))) - F.log((F.col("c") + F.col("prior")) / (n_clean + PRIOR - F.col("c") - F.col("prior")))
+    seen = seen.withColumn("prior", F.lit(a) * (F.col("t") + F.col("c")) / F.lit(w_toxic + w_clean))
+    odds = F.log((F.col("t") + F.col("prior")) / (w_toxic + a - F.col("t") - F.col("prior"))) - F.log((F.col("c") + F.col("prior")) / (w_clean + a - F.col("c") - F.col("prior")))
     spread = F.sqrt(1 / (F.col("t") + F.col("prior")) + 1 / (F.col("c") + F.col("prior")))
-    seen = seen.where((F.col("prior") > 0) & (F.col("t") + F.col("prior") < n_toxic + PRIOR) & (F.col("c") + F.col("prior") < n_clean + PRIOR))
+    seen = seen.where((F.col("t") + F.col("prior") < w_toxic + a) & (F.col("c") + F.col("prior") < w_clean + a))
     kept = seen.select("token", odds.alias("odds"), (odds / spread).alias("z")).where(F.abs("z") >= LEAST_Z)
     kept = kept.orderBy(F.desc(F.abs("z")), "token").limit(MOST_TOKENS).collect()
     hashes = np.zeros(len(kept), dtype=np.uint64)
@@ -270,7 +290,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
                 scores.append(model.probability(min(e, 50.0)) if model.fitted else 0.0)
                 least = model.size * max(len(mine), 1)
                 expected = [least * math.exp(-min(model.rate * s, 500)) for _, _, s in found]
-                passages.append([{"start": a, "end": b, "score": s, "expected": x} for (a, b, s), x in zip(found, expected, strict=True) if x < SIGNIFICANT] if model.fitted else [])
+                passages.append([{"start": a, "end": b, "score": s, "expected": x} for (a, b, s), x in zip(found, expected, strict=True) if x < SIGNIFICANT or e > -math.log(SIGNIFICANT) and x < 1] if model.fitted else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidences, pa.float64()), pa.array(passages, kind)], ["doc_id", "score", "predicted", "evidence", "passages"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), letters(text_col).alias("norm")).mapInArrow(scored, schema)
