@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisheaf.llm.common import SPACE, mix64, read_table, shingle_hashes, stage_table, text_buffer, text_of, word_hashes
+from verisheaf.llm.common import SPACE, keep_on_disk, mix64, read_table, shingle_hashes, stage_table, text_buffer, text_of, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8^5)^30, all but 7 in a million. More registers
@@ -218,15 +218,15 @@ def may_reach(threshold: float):
 def _components(links: DataFrame) -> DataFrame:
     """(id, label) for every id of links (a, b): the smallest id it is connected with. Labels travel along links and
     then follow their own label, so chains shorten by half each round."""
-    both = stage_table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links", shrink=8)
+    both = stage_table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links", shrink=16)
     labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("label"))
-    labels = stage_table(labels, "near-labels", shrink=8)
+    labels = stage_table(labels, "near-labels", shrink=16)
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
         jump = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
         step = step.join(jump, "new").select("id", "label", F.least("new", "far").alias("new"))
-        step = stage_table(step, "near-labels", shrink=8)
+        step = stage_table(step, "near-labels", shrink=16)
         changed = step.where("new <> label").limit(1).count()
         labels = step.select("id", F.col("new").alias("label"))
         if not changed:
@@ -281,9 +281,9 @@ def near_duplicates(
     texts = stage_table(texts.withColumn("id", F.col("first.uid")), "near-texts")
     members = texts.select("id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage_table(members.join(shared, "bucket"), "near-members", shrink=4)
+    members = keep_on_disk(members.join(shared, "bucket"))
     central = members.groupBy("id").agg(F.sum("n").alias("meets"))
-    central = stage_table(central.join(texts.select("id", "key", F.col("first.doc_id").alias("doc_id"), "marks"), "id"), "near-central", shrink=4)
+    central = keep_on_disk(central.join(texts.select("id", "key", F.col("first.doc_id").alias("doc_id"), "marks"), "id"))
     members = members.select("bucket", "id")
     wanted = central.select(F.col("id"), F.col("key").alias("of"), F.col("doc_id").alias("at_id"))
     held = base.join(wanted, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
@@ -313,7 +313,7 @@ def near_duplicates(
 
     heads = members.join(central.select("id", "meets"), "id").groupBy("bucket").agg(F.max(F.struct("meets", "id")).alias("lead"))
     chosen = members.join(heads, "bucket").groupBy("id").agg(F.max("lead").alias("lead")).select("id", F.col("lead.id").alias("their_id"))
-    chosen = stage_table(chosen, "near-leaders", shrink=4)
+    chosen = keep_on_disk(chosen)
     first_pairs = marked_pairs(chosen.where("id <> their_id")).select(F.col("id").alias("a"), F.col("their_id").alias("b"))
     met = compared(first_pairs)
     # What is known of each text by its leader; a leader differs from itself in nothing.
@@ -322,7 +322,7 @@ def near_duplicates(
     itself = itself.join(profile.select("id"), "id", "left_anti")
     nothing = F.array_repeat(F.lit(0).cast("long"), 2 * DELTA_WORDS)
     profile = profile.unionByName(itself.select("id", F.col("id").alias("leader"), "plain", "size", F.col("size").alias("leader_size"), F.lit(0).alias("extra"), nothing.alias("delta")))
-    profile = stage_table(central.select("id", "marks").join(profile, "id", "left"), "near-profiles", shrink=4)
+    profile = keep_on_disk(central.select("id", "marks").join(profile, "id", "left"))
     done = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = met.where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
     labels = _components(links)
@@ -332,7 +332,7 @@ def near_duplicates(
         kinds = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = kinds.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("held"))
         mixed = mixed.where(F.col("held") > F.col("most.n")).select("bucket", F.col("most.label").alias("main"), ((F.col("held") - F.col("most.n")) * F.col("held")).alias("work"))
-        mixed = stage_table(marked.join(mixed, "bucket"), "near-mixed", shrink=4)
+        mixed = keep_on_disk(marked.join(mixed, "bucket"))
         if mixed.isEmpty():
             break
         small = mixed if depth == DEEPEST else mixed.where(F.col("work") <= SMALL)
@@ -344,7 +344,7 @@ def near_duplicates(
         deeper = depth < DEEPEST and not large.isEmpty()
         if deeper:
             more = more.union(as_pairs(with_leader(large))).distinct()
-        more = stage_table(more.join(done, ["a", "b"], "left_anti"), "near-pairs", shrink=4)
+        more = stage_table(more.join(done, ["a", "b"], "left_anti"), "near-pairs", shrink=8)
         if not more.isEmpty():
             new = compared(more).where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
             done = done.union(more)
@@ -367,13 +367,13 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each class, all columns as they were. Cases as in near_duplicates."""
     found = stage_table(near_duplicates(docs, id_col, text_col, **options), "near-kept")
-    kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__of"))
-    marked = docs.withColumn("__key", text_key(text_col))
-    out = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left_semi")
-    again = found.where("not kept").join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__of")), "left_semi")
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("at_id"), text_key(text_col).alias("at_key"))
+    out = rows.join(kept, F.col("at_id").eqNullSafe(F.col("kept_id")) & (F.col("at_key") == F.col("kept_key")), "left_semi")
+    again = found.where("not kept").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
     if not again.isEmpty():  # rows that repeat both the id and the text of one that stays
-        out = out.dropDuplicates([id_col, "__key"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["at_id", "at_key"])
+    return out.select("row.*")
 
 
 def op1_near_duplicates(spark, sf_dir):
