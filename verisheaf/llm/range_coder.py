@@ -226,9 +226,9 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
 def _encode_together(ids: np.ndarray, block: int) -> list[bytes]:
     parts = [ids[i : i + block] for i in range(0, len(ids), block)]
     n = len(parts)
-    heads, places = [], np.zeros((block, n), dtype=np.int64)
+    heads, places = [], np.zeros((block, n), dtype=np.int32)
     kinds = np.zeros(n, dtype=np.int64)
-    room = np.zeros(int(ids.max()) + 2 if int(ids.max(initial=0)) < 1 << 22 else 1, dtype=np.int64)
+    room = np.zeros(int(ids.max()) + 2 if int(ids.max(initial=0)) < 1 << 22 else 1, dtype=np.int32)
     for i, part in enumerate(parts):
         if len(room) > 1:
             room[part] = 1
@@ -250,7 +250,7 @@ def _encode_together(ids: np.ndarray, block: int) -> list[bytes]:
         if _refresh(t):
             mixer.refresh(places, t)
         mixer.predict()
-        symbol = places[t]
+        symbol = places[t].astype(np.int64)
         chosen = mixer.choose(symbol)
         writer.put(None, *mixer.interval(chosen), mixer.all)
         rest = np.flatnonzero(chosen == 2)
@@ -284,7 +284,7 @@ def _decode_together(blocks: list) -> np.ndarray:
         codes.append(np.frombuffer(data[8 + used :], dtype=np.uint8))
     mixer, reader = _Mixer(np.array([len(x) for x in lists])), _Reader(codes)
     steps = int(sizes.max())
-    places = np.zeros((steps, n), dtype=np.int64)
+    places = np.zeros((steps, n), dtype=np.int32)
     for t in range(steps):
         if _refresh(t):
             mixer.refresh(places, t)

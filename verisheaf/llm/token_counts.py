@@ -21,7 +21,7 @@ from verisheaf.llm.tokens import WordEncoder, default_tokenizer
 END_ID = 49407
 #: Bytes of a block, a multiple of an id's, and of a file. A file is one row of Spark's reader, so it has to be bounded.
 BLOCK_BYTES, FILE_BYTES = 1 << 20, 1 << 26
-TEXT_BYTES = 1 << 25
+TEXT_BYTES = 1 << 23
 
 
 def write_flat(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:

@@ -26,7 +26,7 @@ from verisheaf.llm.tokens import WordEncoder, default_tokenizer
 SEGMENT, END_ID = range_coder.BLOCK * range_coder.TOGETHER, 1
 MAGIC = b"VST1"
 #: Bytes of text tokenized at once.
-TEXT_BYTES = 1 << 25
+TEXT_BYTES = 1 << 23
 
 
 def pack_segment(lengths: np.ndarray, ids: np.ndarray) -> bytes:
