@@ -96,10 +96,10 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without those that contain an item, all columns as they were. Cases as in contaminated."""
-    found = contaminated(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__of")).distinct()
+    found = contaminated(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).distinct()
     found = stage_table(found, "leak-rows", shrink=8)
-    marked = docs.withColumn("__key", F.md5(F.array_join(words_of(text_col), " ")))
-    return marked.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("at_id"), F.md5(F.array_join(words_of(text_col), " ")).alias("at_key"))
+    return rows.join(found, F.col("at_id").eqNullSafe(F.col("found_id")) & (F.col("at_key") == F.col("found_key")), "left_anti").select("row.*")
 
 
 def op6_decontaminate(spark, sf_dir):

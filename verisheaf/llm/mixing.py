@@ -34,6 +34,11 @@ class Mix:
     cut: float | None
 
 
+def _source_key(column: str):
+    """The source as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("~"))
+
+
 def targets(sizes: DataFrame, cycle=CYCLE, share: float = SHARE, epochs: int = EPOCHS) -> tuple[DataFrame, float]:
     """Target of each source. sizes: a row per source (source, source_key, source_size), few enough for one task: names
     have to be ranked. A source asks for its weight's part of the budget; what it asks for beyond epochs times its
@@ -112,7 +117,7 @@ def mix_sources(
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~")).alias("source_key"),
+        _source_key(source_col).alias("source_key"),
         size.alias("size"),
         F.xxhash64(text_of(text_col)).alias("text_key"),
     )
@@ -165,14 +170,13 @@ def mix_sources(
 def repeat_mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """docs as often as the mix takes them, all columns as they were. Cases as in mix_sources."""
     taken = mix_sources(docs, id_col, source_col, text_col, **options).decisions.where("copies > 0")
-    name = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~"))
-    taken = taken.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__of"), F.col("source_key").alias("__source")).agg(F.sum("copies").cast("int").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    taken = taken.groupBy(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), F.col("source_key").alias("mix_source")).agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("n_rows"))
     taken = stage_table(taken, "mix-taken", shrink=4)
-    marked = docs.withColumn("__key", F.xxhash64(text_of(text_col))).withColumn("__name", name)
-    out = marked.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")) & (F.col("__name") == F.col("__source")))
-    if not taken.where("__rows > 1").isEmpty():  # rows that repeat id, text and source were counted together
-        out = out.dropDuplicates([id_col, "__key", "__name"])
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("at_id"), F.xxhash64(text_of(text_col)).alias("at_key"), _source_key(source_col).alias("at_source"))
+    out = rows.join(taken, F.col("at_id").eqNullSafe(F.col("mix_id")) & (F.col("at_key") == F.col("mix_key")) & (F.col("at_source") == F.col("mix_source")))
+    if not taken.where("n_rows > 1").isEmpty():  # rows that repeat id, text and source were counted together
+        out = out.dropDuplicates(["at_id", "at_key", "at_source"])
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op10_mix_sources(spark, sf_dir):

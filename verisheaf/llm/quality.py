@@ -125,34 +125,34 @@ def _odds(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def _evidence(docs: DataFrame, model: Model, text_col: str, host_col: str, path_col: str) -> DataFrame:
-    """docs with the columns __host, __path and __odds. Null hosts and paths are groups of their own."""
+def _evidence(docs: DataFrame, model: Model, text_col: str, host_col: str, path_col: str, keep: list[str]) -> DataFrame:
+    """row (a struct of the columns to keep), host, path and odds. Null hosts and paths are groups of their own."""
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~"))
-    out = docs.withColumn("__x", F.array(*features(text_of(text_col))))
-    return out.select(*docs.columns, named(host_col).alias("__host"), named(path_col).alias("__path"), model.log_odds(F.col("__x")).alias("__odds"))
+    out = docs.select(F.struct(*keep).alias("row"), named(host_col).alias("host"), named(path_col).alias("path"), F.array(*features(text_of(text_col))).alias("x"))
+    return out.select("row", "host", "path", model.log_odds(F.col("x")).alias("odds"))
 
 
 def site_posteriors(evidence: DataFrame) -> tuple[DataFrame, float, float, float]:
-    """(__host, __path, path_n, path_s, host_mean) for each path, the global mean, and the strengths of the priors of
-    hosts and paths. evidence: __host, __path, __odds."""
-    p = 1 / (1 + F.exp(-F.col("__odds")))
+    """(host, path, path_n, path_s, host_mean) for each path, the global mean, and the strengths of the priors of
+    hosts and paths. evidence: host, path, odds."""
+    p = 1 / (1 + F.exp(-F.col("odds")))
     # Sums of fixed-point numbers don't depend on the order of the rows.
-    paths = evidence.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("path_n"), F.sum(F.round(p * 1e9).cast("long")).alias("fixed"))
-    paths = stage_table(paths.select("__host", "__path", "path_n", (F.col("fixed") / F.lit(1e9)).alias("path_s")), "quality-paths")
-    hosts = paths.groupBy("__host").agg(F.sum("path_n").alias("n"), F.sum(F.round(F.col("path_s") * 1e9).cast("long")).alias("fixed"))
-    hosts = hosts.select("__host", "n", (F.col("fixed") / F.lit(1e9)).alias("s"))
+    paths = evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("path_n"), F.sum(F.round(p * 1e9).cast("long")).alias("fixed"))
+    paths = stage_table(paths.select("host", "path", "path_n", (F.col("fixed") / F.lit(1e9)).alias("path_s")), "quality-paths")
+    hosts = paths.groupBy("host").agg(F.sum("path_n").alias("n"), F.sum(F.round(F.col("path_s") * 1e9).cast("long")).alias("fixed"))
+    hosts = hosts.select("host", "n", (F.col("fixed") / F.lit(1e9)).alias("s"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum(F.round(F.col("s") * 1e9).cast("long")).alias("fixed")).first()
     mean = whole.fixed / 1e9 / whole.n if whole.n else 0.5
     k_host = round(_strength(hosts, F.lit(mean)), 6)
-    hosts = hosts.select("__host", ((F.col("s") + F.lit(k_host * mean)) / (F.col("n") + F.lit(k_host))).alias("host_mean"))
-    joined = paths.join(hosts, "__host")
+    hosts = hosts.select("host", ((F.col("s") + F.lit(k_host * mean)) / (F.col("n") + F.lit(k_host))).alias("host_mean"))
+    joined = paths.join(hosts, "host")
     k_path = round(_strength(joined.select(F.col("path_n").alias("n"), F.col("path_s").alias("s"), "host_mean"), F.col("host_mean")), 6)
     return stage_table(joined, "quality-sites"), mean, k_host, k_path
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """docs with four more columns: __doc_score (the classifier's probability that the document is good), __host_mean
-    and __path_mean (posterior means of its host and path), and __score; a document is rejected below 0.5.
+def score_quality(docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", path_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns to keep, all unless given), doc_score (the classifier's probability that the document
+    is good), host_mean and path_mean (posterior means of its host and path) and score; a document is rejected below 0.5.
 
     The site table has a row per path and is joined as its size at run time allows; documents of one host are never
     gathered unless it outgrows a broadcast, and then skewed hosts are split.
@@ -160,30 +160,24 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", host_co
     Null text counts as empty, which has zeros for features; null hosts and paths are groups of their own. Repeated
     rows count as often as they occur. Empty input gives no rows. Other columns pass through.
     """
-    evidence = _evidence(docs, model, text_col, host_col, path_col)
-    sites, mean, _, k_path = site_posteriors(evidence.select("__host", "__path", "__odds"))
-    sites = sites.select(F.col("__host").alias("__h"), F.col("__path").alias("__p"), "path_n", "path_s", F.col("host_mean").alias("__host_mean"))
-    p = 1 / (1 + F.exp(-F.col("__odds")))
-    out = evidence.join(sites, (F.col("__host") == F.col("__h")) & (F.col("__path") == F.col("__p")))
-    prior = (F.col("path_s") - p + F.lit(k_path) * F.col("__host_mean")) / (F.col("path_n") - 1 + F.lit(k_path))
+    evidence = _evidence(docs, model, text_col, host_col, path_col, keep or docs.columns)
+    sites, mean, _, k_path = site_posteriors(evidence.select("host", "path", "odds"))
+    sites = sites.select(F.col("host").alias("site_host"), F.col("path").alias("site_path"), "path_n", "path_s", "host_mean")
+    p = 1 / (1 + F.exp(-F.col("odds")))
+    out = evidence.join(sites, (F.col("host") == F.col("site_host")) & (F.col("path") == F.col("site_path")))
+    prior = (F.col("path_s") - p + F.lit(k_path) * F.col("host_mean")) / (F.col("path_n") - 1 + F.lit(k_path))
     shift = F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), _odds(prior) - _odds(F.lit(mean))))
-    return out.select(*docs.columns, p.alias("__doc_score"), "__host_mean", prior.alias("__path_mean"), (1 / (1 + F.exp(-(F.col("__odds") + shift)))).alias("__score"))
+    return out.select("row", p.alias("doc_score"), "host_mean", prior.alias("path_mean"), (1 / (1 + F.exp(-(F.col("odds") + shift)))).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """docs without those that the classifier, trained on labels, rejects; all columns as they were."""
     model = train(docs, labels, id_col, text_col)
-    return score_quality(docs, model, text_col, host_col, path_col).where("__score >= 0.5").select(*docs.columns)
+    return score_quality(docs, model, text_col, host_col, path_col).where("score >= 0.5").select("row.*")
 
 
 def op3_quality(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    out = score_quality(docs.select("doc_id", "text", "source", "lang"), train(docs, read_table(spark, sf_dir, "labels")))
-    return out.select(
-        "doc_id",
-        F.round("__doc_score", 9).alias("doc_score"),
-        F.round("__host_mean", 9).alias("host_mean"),
-        F.round("__path_mean", 9).alias("path_mean"),
-        F.round("__score", 9).alias("score"),
-        (F.col("__score") >= 0.5).alias("kept"),
-    )
+    out = score_quality(docs, train(docs, read_table(spark, sf_dir, "labels")), keep=["doc_id"])
+    rounded = [F.round(c, 9).alias(c) for c in ("doc_score", "host_mean", "path_mean", "score")]
+    return out.select("row.doc_id", *rounded, (F.col("score") >= 0.5).alias("kept"))
