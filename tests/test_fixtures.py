@@ -15,6 +15,7 @@ from verisheaf.operators import dataset as D
 from verisheaf.operators import joins as J
 from verisheaf.operators import ngrams as N
 from verisheaf.operators import quality as Q
+from verisheaf.operators import scoring as C
 from verisheaf.operators import stats as A
 from verisheaf.sources import io
 from verisheaf.streaming import state as ST
@@ -244,3 +245,37 @@ def test_acceptance_and_contrast(spark):
     settings = spark.createDataFrame([("a", "x", "1"), ("b", "x", "2"), ("a", "y", "1"), ("b", "y", "1"), ("b", "p", "/path/to/z")], "file string, key string, value string")
     assert sorted(tuple(r) for r in Q.config_contrast(settings, "a", ["y"], {"b": ["x"]}).collect()) == [("b", "p", "unexpected_difference")]
     assert Q.placeholder_paths(settings).count() == 1
+
+
+def test_scoring(spark):
+    log = spark.createDataFrame([(0, GOOD, GOOD), (1, GOOD, BAD), (2, GOOD, None)], "case_index long, reference string, prediction string")
+    rows = {r.case_index: r for r in C.per_case(log).collect()}
+    assert rows[0].facts_f1 == rows[0].rougeL_f1 == rows[0].diagnosis_exact == 1.0 and rows[0].meteor_exact > 0.99 and rows[0].contradiction.contradictions == 0
+    assert rows[1].contradiction.contradictions >= 1 and rows[1].facts_f1 < 1 and (rows[1].ref_stage, rows[1].pred_stage) == (1, 3)
+    assert rows[2].facts_recall == 0.0 and rows[2].bleu4 == 0.0
+    values = {(r.section, r.metric): r.value for r in C.metrics_document(C.per_case(log)).collect()}
+    assert values["numeric_and_stage", "stage_exact"] == 0.5 and values["diagnostic", "diagnosis_exact"] == pytest.approx(2 / 3)
+
+
+def test_views(spark):
+    audit = spark.createDataFrame([(0, 10, "a.jpg"), (1, 10, "b.jpg"), (2, 11, "c.jpg")], "one_to_one_index long, clean_case_index long, image string")
+    text = ["图像分析：汇管区炎症", "图像分析：胆管损伤", "图像分析：肝细胞脂肪变"]
+    log = spark.createDataFrame([(i, t, t) for i, t in enumerate(text)], "case_index long, reference string, prediction string")
+    rows = C.per_view(audit, log).collect()
+    assert len(rows) == 3 and all(r.f1 == 1.0 and r.has_prefix and not r.has_position and not r.has_diagnosis and r.discordance == 0 for r in rows)
+    with pytest.raises(ValueError):
+        C.per_view(audit, log.where("case_index < 2"))
+
+
+def test_confidence(spark):
+    rows = spark.createDataFrame([([[0.0, 0.0], [math.log(3.0), 0.0]],), ([],)], "logits array<array<double>>")
+    a, b = C.confidence_from_logits(rows).collect()
+    assert (a.mean_token_confidence, a.min_token_confidence, a.target_tokens) == (pytest.approx(0.625), 0.5, 2) and b.mean_token_confidence is None
+    C.register_functions(spark)
+    assert spark.sql("select lcs_length(array('a', 'b'), array('b')) as n").first().n == 1
+
+
+def test_greedy_match(spark):
+    df = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[1.0, 0.0]])], "r array<array<double>>, p array<array<double>>")
+    m = df.select(P.greedy_match(F.col("r"), F.col("p")).alias("m")).first().m
+    assert (m.precision, m.recall) == (1.0, 0.5)

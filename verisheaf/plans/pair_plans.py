@@ -10,6 +10,7 @@ from verisheaf.functions import pairs as P
 from verisheaf.functions import text as T
 from verisheaf.operators import joins as J
 from verisheaf.operators import ngrams as N
+from verisheaf.operators import scoring as C
 from verisheaf.operators import stats as A
 from verisheaf.plans import tables as S
 from verisheaf.plans.tables import PAIRS, REPORTS, reports, table, tokenized, turn_pairs
@@ -270,7 +271,44 @@ def case_metrics(spark, sf):
     return out.select("report_id", F.round("coverage", 9).alias("coverage"), "same_diagnosis", F.round("length_ratio", 9).alias("length_ratio"), "same_text", F.round(score, 9).alias("quality"))
 
 
+def _staged(spark, sf):
+    r, p = F.col("reference"), F.col("prediction")
+    return reports(spark, sf).select("report_id", T.stage(r).alias("ref_stage"), T.stage(p).alias("pred_stage"), (T.canonical_diagnosis(r) == T.canonical_diagnosis(p)).cast("double").alias("diagnosis_exact"), (T.canonical_diagnosis(r) == "未找到").alias("placeholder_diagnosis"))
+
+
+def stage_accuracy(spark, sf):
+    return _rounded(C.stage_accuracy(_staged(spark, sf)), "comparable")
+
+
+_STAGE_OF = lambda x: rf"regexp_extract({S.sql_normalize(x)}, '(?i)([ivxⅠⅡⅢⅣ一二三四1-4]+){S.WS}*期', 1)"
+_STAGE_NO = lambda x: rf"(CASE WHEN regexp_matches({x}, '^\d+$') THEN CAST({x} AS BIGINT) ELSE CASE lower({x}) {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in L.STAGES.items())} END END)"
+_STAGED = f"{REPORTS}, s0 AS (SELECT report_id, {_STAGE_OF('reference')} AS a, {_STAGE_OF('prediction')} AS b, {S.sql_canonical('reference')} AS rc, {S.sql_canonical('prediction')} AS pc FROM reports), st AS (SELECT report_id, {_STAGE_NO('a')} AS a, {_STAGE_NO('b')} AS b, rc, pc FROM s0)"
+STAGE_ACCURACY = f"WITH {_STAGED} SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS comparable, round(avg((abs(a - b) = 0)::INTEGER), 9) AS exact, round(avg((abs(a - b) <= 1)::INTEGER), 9) AS within_one FROM st"
+
+
+def placeholder_accuracy(spark, sf):
+    return _rounded(C.placeholder_accuracy(_staged(spark, sf)), "n_placeholder")
+
+
+PLACEHOLDER = f"WITH {_STAGED} SELECT count(*) FILTER (rc = '未找到') AS n_placeholder, round(avg((rc = pc)::INTEGER) FILTER (rc = '未找到'), 9) AS placeholder_accuracy, round(avg((rc = pc)::INTEGER) FILTER (rc <> '未找到'), 9) AS other_accuracy FROM st"
+
+
+def case_scores(spark, sf):
+    """E1: the wide table, over conversations."""
+    cases = C.per_case(turn_pairs(spark, sf).withColumnRenamed("pair_id", "case_index"))
+    return cases.select("case_index", *[F.round(c, 9).alias(c) for c in ("rouge1_f1", "rouge2_f1", "rougeL_f1", "char_rougeL_f1", "meteor_exact", "bleu4", "chrf", "cider", "facts_f1", "quality", "length_ratio")])
+
+
+def document(spark, sf):
+    log = turn_pairs(spark, sf).withColumnRenamed("pair_id", "case_index").withColumn("latency_sec", F.col("turn") + F.lit(0.5)).withColumn("output_tokens", F.length("prediction")).withColumn("hit_max_new_tokens", F.lit(False)).withColumn("peak_gpu_memory_bytes", F.lit(None).cast("long")).withColumn("error", F.lit(None).cast("string"))
+    return C.metrics_document(C.per_case(log), log).select("section", "metric", F.round("value", 9).alias("value"))
+
+
 QUERIES = {
+    "ag_stage_accuracy": (stage_accuracy, STAGE_ACCURACY),
+    "ag_placeholder_accuracy": (placeholder_accuracy, PLACEHOLDER),
+    "e1_case_scores": (case_scores, None),
+    "e1_metrics_document": (document, None),
     "rouge1_by_turn": (rouge1_by_turn, ROUGE1),
     "mt_rouge_1_2": (rouge_1_2, ROUGE12),
     "mt_rouge_l": (rouge_l_turns, ROUGE_L),
