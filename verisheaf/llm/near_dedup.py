@@ -176,7 +176,8 @@ def _bitmap(hashes: np.ndarray) -> np.ndarray:
 
 def verifier(width: int, threshold: float):
     """For mapInArrow: (a, b, text_a, text_b) to _PAIR with the exact similarity of each pair. delta holds a bitmap of the
-    shingles of a that b lacks and one of those of b that a lacks; plain says that no shingle occurs twice."""
+    shingles of b that a lacks and one of those of a that b lacks; plain says that both hold the same shingles more than
+    once, and as often, so that all others have weight one; sizes are total weights."""
 
     def run(batches):
         for batch in batches:
@@ -196,7 +197,9 @@ def verifier(width: int, threshold: float):
                     h, w = hashes[lo:hi], weights[lo:hi]
                     extra = np.setdiff1d(h, last[1], assume_unique=True)
                     missing = np.setdiff1d(last[1], h, assume_unique=True)
-                    for k, v in enumerate((similarity(h, w, last[1], last[2]), bool((w == 1).all() and (last[2] == 1).all()), len(h), len(last[1]), len(extra), np.concatenate([_bitmap(missing), _bitmap(extra)]).view(np.int64))):
+                    often, theirs = w > 1, last[2] > 1
+                    plain = np.array_equal(h[often], last[1][theirs]) and np.array_equal(w[often], last[2][theirs])
+                    for k, v in enumerate((similarity(h, w, last[1], last[2]), plain, int(w.sum()), int(last[2].sum()), len(extra), np.concatenate([_bitmap(missing), _bitmap(extra)]).view(np.int64))):
                         out[k].append(v)
             kinds = (pa.float64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], ["a", "b", "similarity", "plain", "size", "leader_size", "extra", "delta"])
@@ -205,9 +208,11 @@ def verifier(width: int, threshold: float):
 
 
 def may_reach(threshold: float):
-    """Whether two texts that were compared with one leader can be as similar as the threshold. What both share with the
-    leader is at most what neither lacks, and what they share beyond it at most what their extras overlap; bitmaps
-    bound both from above, so no pair is lost. Columns: those of a text, and with their_ in front those of another."""
+    """Whether two texts that were compared with one leader can be as similar as the threshold. Where the shingles that
+    occur more than once are those of the leader, probability Jaccard is shared weight over united weight. What both
+    share with the leader is at most what neither lacks, and what they share beyond it at most what their extras
+    overlap; bitmaps bound both from above, so no pair is lost. Columns: those of a text, and with their_ in front those
+    of another."""
     union = lambda at: sum((F.bit_count(F.col("delta")[k].bitwiseOR(F.col("their_delta")[k])) for k in range(at, at + DELTA_WORDS)), F.lit(0))
     most = F.col("leader_size") - union(0) + F.col("extra") + F.col("their_extra") - union(DELTA_WORDS)
     fits = most >= F.lit(threshold) * (F.col("size") + F.col("their_size") - most) - F.lit(1e-9)
@@ -262,8 +267,8 @@ def near_duplicates(
     Candidates are texts that share a band of the signature and differ in no more registers than a pair at the threshold
     does. First each text is compared with one leader, the member of its buckets that meets most others over all its
     buckets, as the original of a family of copies does. Then buckets that still hold several classes are gone through:
-    those outside the bucket's largest class are compared with all members of other classes that their differences from a
-    common leader don't rule out; where that is many, with the bucket's leader, and the members meet once more in the finer buckets that they
+    their members are compared with the bucket's leader, and those outside its largest class with all members of other
+    classes that their differences from a common leader don't rule out; where that is many, members meet in the finer buckets that they
     share with a further band. What is large even then is compared in full, so no bucket is cut off, and the pairs
     within a class are never listed.
 
@@ -318,7 +323,7 @@ def near_duplicates(
     met = compared(first_pairs)
     # What is known of each text by its leader; a leader differs from itself in nothing.
     profile = met.select(F.col("a").alias("id"), F.col("b").alias("leader"), "plain", "size", "leader_size", "extra", "delta")
-    itself = met.groupBy(F.col("b").alias("id")).agg(F.bool_and("plain").alias("plain"), F.first("leader_size").alias("size"))
+    itself = met.groupBy(F.col("b").alias("id")).agg(F.lit(True).alias("plain"), F.first("leader_size").alias("size"))
     itself = itself.join(profile.select("id"), "id", "left_anti")
     nothing = F.array_repeat(F.lit(0).cast("long"), 2 * DELTA_WORDS)
     profile = profile.unionByName(itself.select("id", F.col("id").alias("leader"), "plain", "size", F.col("size").alias("leader_size"), F.lit(0).alias("extra"), nothing.alias("delta")))
@@ -327,23 +332,17 @@ def near_duplicates(
     links = met.where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
     labels = _components(links)
     level = members.withColumn("last", F.col("bucket"))
-    for depth in range(1, DEEPEST + 1):
+
+    def still_mixed() -> DataFrame:
+        """Members of the level's buckets that hold several classes, with the bucket's largest class."""
         marked = level.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         kinds = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         mixed = kinds.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("held"))
         mixed = mixed.where(F.col("held") > F.col("most.n")).select("bucket", F.col("most.label").alias("main"), ((F.col("held") - F.col("most.n")) * F.col("held")).alias("work"))
-        mixed = keep_on_disk(marked.join(mixed, "bucket"))
-        if mixed.isEmpty():
-            break
-        small = mixed if depth == DEEPEST else mixed.where(F.col("work") <= SMALL)
-        large = mixed.where(F.col("work") > SMALL)
-        small = small.select("bucket", "id", "label", "main").join(profile, "id")
-        other = theirs(small.where("label <> main").drop("main"))
-        once = (F.col("label") == F.col("main")) | (F.col("id") < F.col("their_id"))
-        more = as_pairs(small.join(other, "bucket").where((F.col("label") != F.col("their_label")) & once & near & may_reach(threshold)))
-        deeper = depth < DEEPEST and not large.isEmpty()
-        if deeper:
-            more = more.union(as_pairs(with_leader(large))).distinct()
+        return keep_on_disk(marked.join(mixed, "bucket"))
+
+    def link(more: DataFrame) -> None:
+        nonlocal done, links, labels
         more = stage_table(more.join(done, ["a", "b"], "left_anti"), "near-pairs", shrink=8)
         if not more.isEmpty():
             new = compared(more).where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
@@ -351,7 +350,20 @@ def near_duplicates(
             if not new.isEmpty():
                 links = links.union(new)
                 labels = _components(links)
-        if not deeper:
+
+    for depth in range(1, DEEPEST + 1):
+        mixed = still_mixed()
+        if mixed.isEmpty():
+            break
+        link(as_pairs(with_leader(mixed)))
+        mixed = still_mixed()
+        small = mixed if depth == DEEPEST else mixed.where(F.col("work") <= SMALL)
+        small = small.select("bucket", "id", "label", "main").join(profile, "id")
+        other = theirs(small.where("label <> main").drop("main"))
+        once = (F.col("label") == F.col("main")) | (F.col("id") < F.col("their_id"))
+        link(as_pairs(small.join(other, "bucket").where((F.col("label") != F.col("their_label")) & once & near & may_reach(threshold))))
+        large = mixed.where(F.col("work") > SMALL)
+        if depth == DEEPEST or large.isEmpty():
             break
         again = large.select("id", "bucket", "last").join(members.select("id", F.col("bucket").alias("next")), "id").where(F.col("next") > F.col("last"))
         again = again.select(F.xxhash64("bucket", "next").alias("bucket"), "id", F.col("next").alias("last"))
