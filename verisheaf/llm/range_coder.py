@@ -16,7 +16,7 @@ import zlib
 import numpy as np
 
 #: Ids in a block, and blocks that advance together.
-BLOCK, TOGETHER = 4096, 2048
+BLOCK, TOGETHER = 4096, 1024
 #: Places in the order-2 table of a block.
 PLACES = 4096
 #: What a symbol's count rises by in order 0, what a trusted order's does, and where those are halved.

@@ -1,7 +1,7 @@
 """Operator 2: token ids written in a binary format with an adaptive range coder, and read back.
 
 Documents are range-partitioned and sorted by id, so files in partition order hold ids in ascending document order. A
-file is Parquet whose rows are segments: whole documents of about 8 million ids, coded in blocks that stand alone (see
+file is Parquet whose rows are segments: whole documents of about 4 million ids, coded in blocks that stand alone (see
 range_coder). The Spark writer commits the files, so a lost executor leaves none half written.
 
 A segment is, in bytes: "VST1", then little-endian 32-bit numbers of documents and blocks; for each document its number
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from verisheaf.llm import range_coder
 from verisheaf.llm.common import read_table, stage_path, stage_table, text_of
 from verisheaf.llm.near_dedup import slices
-from verisheaf.llm.tokens import WordEncoder, default_tokenizer
+from verisheaf.llm.tokens import default_tokenizer, encoder_for
 
 #: Ids after which a segment ends, and the id after each document.
 SEGMENT, END_ID = range_coder.BLOCK * range_coder.TOGETHER, 1
@@ -60,7 +60,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     tokenizer = tokenizer or default_tokenizer()
 
     def coded(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_for(tokenizer)
         seq, start = 0, 0
         doc_ids: list = []
         lengths: list = []

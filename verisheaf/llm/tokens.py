@@ -7,13 +7,16 @@ Each different word is encoded once and its ids are copied to where it stands.
 from __future__ import annotations
 
 import os
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker remembers; beyond, it forgets all.
-REMEMBERED = 2_000_000
+REMEMBERED = 400_000
+#: Words that are encoded as one text.
+TOGETHER = 500
 
 
 def default_tokenizer() -> str:
@@ -22,6 +25,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def encoder_for(path: str, plain_specials: bool = False) -> WordEncoder:
+    """An encoder that a worker process keeps from task to task with the words it knows."""
+    kept = sys.__dict__.setdefault("_verisheaf_encoders", {})
+    if (path, plain_specials) not in kept:
+        kept[path, plain_specials] = WordEncoder(path, plain_specials)
+    return kept[path, plain_specials]
+
+
 class WordEncoder:
     """Encodes string columns. plain_specials: the strings of special tokens are ordinary text."""
 
@@ -32,25 +43,93 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if plain_specials:
             self.tokenizer.encode_special_tokens = True
+        self._pending: list = []
+        self._look()
         self._forget()
 
+    def _look(self) -> None:
+        """Whether ids show where words end, and whether signs after letters are apart from them, on trial."""
+        vocabulary = self.tokenizer.get_vocab()
+        ending = {i for t, i in vocabulary.items() if t.endswith("</w>")}
+        self.ends_word = None
+        if ending:
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends_word[list(ending)] = True
+        encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        trials = (("word", "."), ("word", ",\""), ("Über", "!!"), ("naïve", "###"), ("a", "'"), ("слово", "…"))
+        self.splits_signs = all(encode(a + b) == encode(a) + encode(b) for a, b in trials)
+
     def _forget(self) -> None:
         self.known = pa.array([], pa.large_string())
         self.ends = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
-    def _learn(self, words: pa.Array) -> None:
+    def _add(self, words: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, words])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of each text, and all ids."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         found, lengths = [], []
+        for e in encode(texts, add_special_tokens=False):
+            ids = e.ids
+            found.extend(ids)
+            lengths.append(len(ids))
+        return np.array(lengths, dtype=np.int64), np.array(found, dtype=np.int64)
+
+    def _learn_one_by_one(self, words: pa.Array) -> None:
         listed = words.to_pylist()
         for at in range(0, len(listed), 20_000):
-            for e in encode(listed[at : at + 20_000], add_special_tokens=False):
-                ids = e.ids
-                found.extend(ids)
-                lengths.append(len(ids))
-        self.known = pa.concat_arrays([self.known, words])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.array(lengths, dtype=np.int64))])
-        self.ids = np.concatenate([self.ids, np.array(found, dtype=np.uint32)])
+            self._add(words.slice(at, 20_000), *self._ids(listed[at : at + 20_000]))
+
+    def _learn_letters(self, words: pa.Array) -> None:
+        """Words of letters alone, many as one text: each ends where an id ends a word. Where the numbers don't agree,
+        as with letters that change when they become lower case, one by one."""
+        if self.ends_word is None:
+            return self._learn_one_by_one(words)
+        listed = words.to_pylist()
+        chunks = [listed[at : at + TOGETHER] for at in range(0, len(listed), TOGETHER)]
+        lengths, ids = self._ids([" ".join(c) for c in chunks])
+        at = 0
+        for k, chunk in enumerate(chunks):
+            mine = ids[at : at + lengths[k]]
+            at += lengths[k]
+            last = np.flatnonzero(self.ends_word[mine]) + 1
+            words_here = words.slice(k * TOGETHER, len(chunk))
+            if len(last) == len(chunk) and last[-1] == len(mine):
+                self._pending.append((words_here, np.diff(last, prepend=0), mine))
+            else:
+                self._learn_one_by_one(words_here)
+        if self._pending:
+            parts = list(zip(*self._pending, strict=True))
+            self._pending = []
+            self._add(pa.concat_arrays(parts[0]), np.concatenate(parts[1]), np.concatenate(parts[2]))
+
+    def _unknown(self, words: pa.Array) -> pa.Array:
+        words = words.unique()
+        return words.filter(pc.is_null(pc.index_in(words, value_set=self.known)))
+
+    def _learn(self, words: pa.Array) -> None:
+        """Words of letters, of letters with other signs after them, and the rest. The second kind is put together from
+        its two parts, which the tokenizers this is for split in any case."""
+        plain = pc.match_substring_regex(words, r"^\p{L}+$")
+        tailed = pa.array(np.zeros(len(words), dtype=bool))
+        if self.splits_signs:  # ASCII signs, and no letter that becomes a letter and a mark in lower case
+            tailed = pc.and_(pc.match_substring_regex(words, r"^\p{L}+[!-/:-@\[-`{-~]+$"), pc.invert(pc.match_substring(words, "İ")))
+        both = words.filter(tailed)
+        stems, tails = pc.replace_substring_regex(both, r"[^\p{L}]+$", ""), pc.replace_substring_regex(both, r"^\p{L}+", "")
+        self._learn_letters(self._unknown(pa.concat_arrays([words.filter(plain), stems])))
+        self._learn_one_by_one(self._unknown(pa.concat_arrays([words.filter(pc.invert(pc.or_(plain, tailed))), tails])))
+        both = self._unknown(both)
+        if len(both):
+            stems, tails = pc.replace_substring_regex(both, r"[^\p{L}]+$", ""), pc.replace_substring_regex(both, r"^\p{L}+", "")
+            at = np.stack([np.asarray(pc.index_in(x, value_set=self.known)) for x in (stems, tails)], axis=1).reshape(-1).astype(np.int64)
+            lengths = self.ends[at + 1] - self.ends[at]
+            before = np.concatenate([[0], np.cumsum(lengths)])
+            ids = self.ids[np.repeat(self.ends[at] - before[:-1], lengths) + np.arange(before[-1])]
+            self._add(both, lengths.reshape(-1, 2).sum(axis=1), ids)
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each row's followed by end_id, and the number of ids before each row. Nulls are empty."""
@@ -65,16 +144,12 @@ class WordEncoder:
         different = words.dictionary.cast(pa.large_string())
         number = pc.index_in(different, value_set=self.known)
         if number.null_count:
-            if len(self.known) + number.null_count > REMEMBERED:
+            new = different.filter(number.is_null())
+            if len(self.known) + len(new) > REMEMBERED:
                 self._forget()
-                self._learn(different)
-                number = pa.array(np.arange(len(different), dtype=np.int32))
-            else:
-                new, before = different.filter(number.is_null()), len(self.known)
-                self._learn(new)
-                filled = np.asarray(number.fill_null(-1)).copy()
-                filled[filled < 0] = before + np.arange(len(new))
-                number = pa.array(filled)
+                new = different
+            self._learn(new)
+            number = pc.index_in(different, value_set=self.known)
         number = np.asarray(number).astype(np.int64)
         codes = number[np.asarray(words.indices)] if len(different) else np.zeros(0, dtype=np.int64)
         lengths = np.insert(self.ends[codes + 1] - self.ends[codes], cuts[1:], 1)
