@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from verisheaf.llm.common import read_table, stage_path, stage_table, text_of
 from verisheaf.llm.near_dedup import slices
-from verisheaf.llm.tokens import WordEncoder, default_tokenizer
+from verisheaf.llm.tokens import default_tokenizer, encoder_for
 
 END_ID = 49407
 #: Bytes of a block, a multiple of an id's, and of a file. A file is one row of Spark's reader, so it has to be bounded.
@@ -38,7 +38,7 @@ def write_flat(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def written(batches):
         from pyarrow import fs
 
-        encoder = WordEncoder(tokenizer, plain_specials=True)
+        encoder = encoder_for(tokenizer, plain_specials=True)
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
         held: list = []
@@ -74,7 +74,10 @@ def flat_blocks(spark: SparkSession, path: str, files: DataFrame | None = None,
     """(file, block, data) of the files at path, or of those listed. Files must fit a row of Spark's reader."""
     found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     if files is not None:
-        found = found.join(files.select("file"), "file", "left_semi")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getFileCount()
+        if there != files.count():  # tasks that ran again left files that don't count
+            found = found.join(files.select("file"), "file", "left_semi")
     size = F.length("content")
     cuts = F.when(size > 0, F.sequence(F.lit(0), F.floor((size - 1) / F.lit(block_bytes)).cast("int"))).otherwise(F.array(F.lit(0)))
     cut = found.select("file", "content", F.explode(cuts).alias("block"))
