@@ -17,8 +17,14 @@ def grams(tokens: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(tokens, i + 1, n), "\u0001"))
 
 
-def gram_table(pairs: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    sides = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), grams(F.col(column), n).alias("grams")) for n in orders for side, column in ((0, "ref_tokens"), (1, "pred_tokens"))])
+def char_grams(text: Column, n: int) -> Column:
+    """The same for the characters of a text."""
+    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.substr(text, i, F.lit(n)))
+
+
+def gram_table(pairs: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), columns: tuple[str, str] = ("ref_tokens", "pred_tokens"), cut=grams) -> DataFrame:
+    sides = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), cut(F.col(column), n).alias("grams")) for n in orders for side, column in enumerate(columns)])
     each = pairs.select("pair_id", F.explode(sides).alias("s")).select("pair_id", "s.n", "s.side", F.explode("s.grams").alias("gram"))
     return each.groupBy("pair_id", "n", "gram").agg(F.sum(1 - F.col("side")).alias("ref_count"), F.sum("side").alias("pred_count"))
 
@@ -76,8 +82,8 @@ def corpus_bleu(pairs: DataFrame) -> DataFrame:
 def chrf(pairs: DataFrame, orders: int = 6, beta: float = 3.0) -> DataFrame:
     """MT12: per pair the mean over orders of the F score of character n-grams, white space left out; an order that
     neither side has doesn't count. Input: pair_id, ref_chars, pred_chars. The corpus score is the mean."""
-    chars = pairs.select("pair_id", F.col("ref_chars").alias("ref_tokens"), F.col("pred_chars").alias("pred_tokens"))
-    sums = gram_table(chars, tuple(range(1, orders + 1))).groupBy("pair_id", "n").agg(F.sum(F.least("ref_count", "pred_count")).alias("hits"), F.sum("pred_count").alias("p"), F.sum("ref_count").alias("r"))
+    texts = pairs.select("pair_id", F.array_join("ref_chars", "").alias("r"), F.array_join("pred_chars", "").alias("p"))
+    sums = gram_table(texts, tuple(range(1, orders + 1)), ("r", "p"), char_grams).groupBy("pair_id", "n").agg(F.sum(F.least("ref_count", "pred_count")).alias("hits"), F.sum("pred_count").alias("p"), F.sum("ref_count").alias("r"))
     precision, recall = F.coalesce(F.try_divide("hits", "p"), F.lit(0.0)), F.coalesce(F.try_divide("hits", "r"), F.lit(0.0))
     weight = beta * beta
     score = F.coalesce(F.try_divide((1 + weight) * precision * recall, weight * precision + recall), F.lit(0.0))
