@@ -287,7 +287,7 @@ def near_duplicates(
     members = texts.select("id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = keep_on_disk(members.join(shared, "bucket"))
-    central = members.groupBy("id").agg(F.sum("n").alias("meets"))
+    central = members.groupBy("id").agg(F.sum("n").alias("meets"), F.sort_array(F.collect_list("bucket")).alias("shared"))
     central = keep_on_disk(central.join(texts.select("id", "key", F.col("first.doc_id").alias("doc_id"), "marks"), "id"))
     members = members.select("bucket", "id")
     wanted = central.select(F.col("id"), F.col("key").alias("of"), F.col("doc_id").alias("at_id"))
@@ -327,11 +327,11 @@ def near_duplicates(
     itself = itself.join(profile.select("id"), "id", "left_anti")
     nothing = F.array_repeat(F.lit(0).cast("long"), 2 * DELTA_WORDS)
     profile = profile.unionByName(itself.select("id", F.col("id").alias("leader"), "plain", "size", F.col("size").alias("leader_size"), F.lit(0).alias("extra"), nothing.alias("delta")))
-    profile = keep_on_disk(central.select("id", "marks").join(profile, "id", "left"))
+    profile = keep_on_disk(central.select("id", "marks", "shared").join(profile, "id", "left"))
     done = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = met.where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
     labels = _components(links)
-    level = members.withColumn("last", F.col("bucket"))
+    level = members.withColumn("path", F.array("bucket"))
 
     def still_mixed() -> DataFrame:
         """Members of the level's buckets that hold several classes, with the bucket's largest class."""
@@ -358,15 +358,17 @@ def near_duplicates(
         link(as_pairs(with_leader(mixed)))
         mixed = still_mixed()
         small = mixed if depth == DEEPEST else mixed.where(F.col("work") <= SMALL)
-        small = small.select("bucket", "id", "label", "main").join(profile, "id")
-        other = theirs(small.where("label <> main").drop("main"))
+        small = small.select("bucket", "path", "id", "label", "main").join(profile, "id")
+        other = theirs(small.where("label <> main").drop("main", "path"))
         once = (F.col("label") == F.col("main")) | (F.col("id") < F.col("their_id"))
-        link(as_pairs(small.join(other, "bucket").where((F.col("label") != F.col("their_label")) & once & near & may_reach(threshold))))
+        # A pair is met where the path begins its list of shared buckets, and nowhere else.
+        first = F.slice(F.array_intersect("shared", "their_shared"), 1, depth) == F.col("path")
+        link(as_pairs(small.join(other, "bucket").where((F.col("label") != F.col("their_label")) & once & near & may_reach(threshold) & first)))
         large = mixed.where(F.col("work") > SMALL)
         if depth == DEEPEST or large.isEmpty():
             break
-        again = large.select("id", "bucket", "last").join(members.select("id", F.col("bucket").alias("next")), "id").where(F.col("next") > F.col("last"))
-        again = again.select(F.xxhash64("bucket", "next").alias("bucket"), "id", F.col("next").alias("last"))
+        again = large.select("id", "bucket", "path").join(members.select("id", F.col("bucket").alias("next")), "id").where(F.col("next") > F.element_at("path", -1))
+        again = again.select(F.xxhash64("bucket", "next").alias("bucket"), "id", F.concat("path", F.array("next")).alias("path"))
         shared = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
         level = stage_table(again.join(shared, "bucket"), "near-members", shrink=4)
     named = texts.select("key", "id", "first", "n_rows").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
