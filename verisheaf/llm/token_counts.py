@@ -20,7 +20,7 @@ from verisheaf.llm.tokens import default_tokenizer, encoder_for
 
 END_ID = 49407
 #: Bytes of a block, a multiple of an id's, and of a file. A file is one row of Spark's reader, so it has to be bounded.
-BLOCK_BYTES, FILE_BYTES = 1 << 20, 1 << 26
+BLOCK_BYTES, FILE_BYTES = 1 << 20, 1 << 24
 TEXT_BYTES = 1 << 23
 
 
