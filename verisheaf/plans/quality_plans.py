@@ -133,7 +133,7 @@ _PLANTED = ("'AKIA' || repeat('A', 16)", "'ghp_' || repeat('a', 20)", "'https://
 
 def privacy(spark, sf):
     value = "case pmod(doc_id, 9) " + " ".join(f"when {i} then {v}" for i, v in enumerate(_PLANTED)) + " end"
-    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" "), F.expr(value)).alias("text"))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.expr(value)).alias("text"))
     return U.text_findings(rows, "doc_id", "text")
 
 
