@@ -24,6 +24,8 @@ SLICE_BYTES = 1 << 21
 #: A bucket in which several classes meet in at most so many pairs is compared in full; a larger one is cut finer by a
 #: further band, so many times at most.
 SMALL, DEEPEST = 1 << 17, 4
+#: Pairs that share no further band are compared in blocks of about so many pairs.
+BLOCK = 1 << 22
 
 _STEP = 0xD1342543DE82EF95
 
@@ -269,8 +271,8 @@ def near_duplicates(
     buckets, as the original of a family of copies does. Then buckets that still hold several classes are gone through:
     their members are compared with the bucket's leader, and those outside its largest class with all members of other
     classes that their differences from a common leader don't rule out; where that is many, members meet in the finer buckets that they
-    share with a further band. What is large even then is compared in full, so no bucket is cut off, and the pairs
-    within a class are never listed.
+    share with a further band. What is large even then is compared in full, and so are, in blocks, the pairs of a large
+    bucket that share no further band. So no bucket is cut off, and the pairs within a class are never listed.
 
     A text of one to four words has one shingle. Texts without words (also null) form one class, as equal texts. Null
     ids are larger than all others; a class of null ids alone has class_id null. Rows repeated with the same id and
@@ -333,7 +335,7 @@ def near_duplicates(
     labels = _components(links)
     level = members.withColumn("path", F.array("bucket"))
 
-    def still_mixed() -> DataFrame:
+    def still_mixed(level: DataFrame) -> DataFrame:
         """Members of the level's buckets that hold several classes, with the bucket's largest class."""
         marked = level.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         kinds = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -351,26 +353,44 @@ def near_duplicates(
                 links = links.union(new)
                 labels = _components(links)
 
+    once = (F.col("label") == F.col("main")) | (F.col("id") < F.col("their_id"))
+    unlike = (F.col("label") != F.col("their_label")) & once & near & may_reach(threshold)
+    both = F.array_intersect("shared", "their_shared")
+    cut = []
     for depth in range(1, DEEPEST + 1):
-        mixed = still_mixed()
+        mixed = still_mixed(level)
         if mixed.isEmpty():
             break
         link(as_pairs(with_leader(mixed)))
-        mixed = still_mixed()
+        mixed = still_mixed(level)
         small = mixed if depth == DEEPEST else mixed.where(F.col("work") <= SMALL)
         small = small.select("bucket", "path", "id", "label", "main").join(profile, "id")
         other = theirs(small.where("label <> main").drop("main", "path"))
-        once = (F.col("label") == F.col("main")) | (F.col("id") < F.col("their_id"))
         # A pair is met where the path begins its list of shared buckets, and nowhere else.
-        first = F.slice(F.array_intersect("shared", "their_shared"), 1, depth) == F.col("path")
-        link(as_pairs(small.join(other, "bucket").where((F.col("label") != F.col("their_label")) & once & near & may_reach(threshold) & first)))
+        first = F.slice(both, 1, depth) == F.col("path")
+        link(as_pairs(small.join(other, "bucket").where(unlike & first)))
         large = mixed.where(F.col("work") > SMALL)
         if depth == DEEPEST or large.isEmpty():
             break
+        cut.append(large.select("bucket", "id", "path"))
         again = large.select("id", "bucket", "path").join(members.select("id", F.col("bucket").alias("next")), "id").where(F.col("next") > F.element_at("path", -1))
         again = again.select(F.xxhash64("bucket", "next").alias("bucket"), "id", F.concat("path", F.array("next")).alias("path"))
         shared = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
         level = stage_table(again.join(shared, "bucket"), "near-members", shrink=4)
+    # Pairs whose shared buckets end with the path of a bucket that was cut finer met at no further level. They come last,
+    # as labels leave fewest pairs then.
+    for of in reversed(cut):
+        mixed = still_mixed(of)
+        if mixed.isEmpty():
+            continue
+        blocks = F.ceil(F.sqrt(F.col("work") / BLOCK)).cast("int")
+        every, own = F.sequence(F.lit(0), blocks - 1), F.pmod(F.xxhash64("id"), blocks).cast("int")
+        mixed = mixed.select("bucket", "path", "id", "label", "main", own.alias("own"), every.alias("every")).join(profile, "id")
+        other = mixed.where("label <> main").withColumn("row", F.explode("every")).withColumnRenamed("own", "column")
+        other = other.drop("main", "path", "every")
+        other = other.select("bucket", "row", "column", *[F.col(c).alias(f"their_{c}") for c in other.columns if c not in ("bucket", "row", "column")])
+        dealt = mixed.withColumn("column", F.explode("every")).withColumnRenamed("own", "row").drop("every")
+        link(as_pairs(dealt.join(other, ["bucket", "row", "column"]).where(unlike & (both == F.col("path")))))
     named = texts.select("key", "id", "first", "n_rows").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     classes = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("n_rows").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
     named = stage_table(named.select("key", "label").join(classes, "label").select("key", "first", "class_size", "n_texts"), "near-classes", shrink=4)
