@@ -15,3 +15,13 @@ def test_patterns_are_found_behind_long_texts(spark, tmp_path):
     want = {(i, name) for i, text in rows for name, p, cased in L.PRIVACY_RULES if re.search(p, f"{text or ''} {planted.get(i % 9, '')}", 0 if cased else re.I)}
     assert {(8, "aws-access-key"), (12, "national-id"), (0, "aws-access-key")} <= want
     assert sorted(tuple(r) for r in P.privacy(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_long_pages_are_searched(spark, tmp_path):
+    """Pages of 5 MiB are searched and judged by name; a byte more, which is fewer characters, and they are only named."""
+    most = L.MOST_BLOB_BYTES
+    html = ["x" * 20_000 + " AKIA" + "B" * 16, "y" * 20_000, "z" * most, "é" * (most // 2) + "!" + "AKIA" + "C" * 16, None]
+    rows = [(4, html[0]), (5, html[1]), (7, html[2]), (10, html[3]), (14, html[4])]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.rule: r.n for r in P.blobs(spark, str(tmp_path)).collect()}
+    assert got == {"aws-access-key": 1, "sensitive-filename": 2, "oversized-blob": 1}

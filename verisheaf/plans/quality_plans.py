@@ -143,8 +143,8 @@ PRIVACY = f"WITH p AS (SELECT doc_id, substr(text, 1, 200) || ' ' || (CASE doc_i
 
 def blobs(spark, sf):
     names = F.element_at(F.array(*map(F.lit, (".env", "a/b.py", "keys/x.PEM", "c\\id_rsa", "notes.txt"))), (F.pmod("page_id", F.lit(5)) + 1).cast("int"))
-    rows = table(spark, sf, "pages").select(F.sha2("html", 256).alias("oid"), F.array(names).alias("paths"), F.length("html").cast("long").alias("size"), F.encode("html", "UTF-8").alias("data"))
-    return U.history_findings(rows, 10_000).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, sf, "pages").select(F.sha2("html", 256).alias("oid"), F.array(names).alias("paths"), F.octet_length("html").cast("long").alias("size"), F.encode("html", "UTF-8").alias("data"))
+    return U.history_findings(rows).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 BLOBS = "WITH b AS (SELECT DISTINCT substr(sha256(html), 1, 12) AS oid, page_id % 5 AS k, length(html) AS size FROM pages) SELECT CASE WHEN size > 10000 THEN 'oversized-blob' ELSE 'sensitive-filename' END AS rule, count(*) AS n FROM b WHERE size > 10000 OR k IN (0, 2, 3) GROUP BY 1"
