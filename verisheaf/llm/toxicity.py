@@ -142,7 +142,7 @@ class Model:
         """Minus the log of the chance that clean text of n words shows as many segments as high, for the number of
         segments for which that is least: the number of segments above a height is a Poisson count."""
         best = 0.0
-        for r, s in enumerate(sorted((s for _, _, s in found), reverse=True)[:200], 1):
+        for r, s in enumerate(sorted((s for _, _, s in found), reverse=True), 1):
             log_mean = math.log(self.size * max(n, 1)) - self.rate * s
             if log_mean >= math.log(r):
                 continue
