@@ -10,22 +10,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verisheaf.llm.common import SPACE, keep_on_disk, mix64, read_table, shingle_hashes, stage_table, text_buffer, text_of, word_hashes
+from verisheaf.llm.common import SPACE, mix64, read_table, shingle_hashes, stage_table, text_buffer, text_of, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
-#: A pair at the threshold shares a band with probability 1 - (1 - 0.8^5)^30, all but 7 in a million. More registers
-#: than the bands take make the estimate sharper that decides which candidates are compared in full.
-BANDS, ROWS, REGISTERS = 30, 5, 240
+#: A pair at the threshold shares a band with probability 1 - (1 - 0.8^5)^30, all but 7 in a million.
+BANDS, ROWS = 30, 5
 #: Bytes of text hashed at once, which bounds a worker's memory unless one text is longer.
 SLICE_BYTES = 1 << 21
-#: A bucket in which several classes meet in at most so many pairs is compared in full; a larger one is cut finer by a
-#: further band, so many times at most.
-SMALL, DEEPEST = 1 << 17, 4
-#: Pairs that share no further band are compared in blocks of about so many pairs.
-BLOCK = 1 << 22
+#: Members that are compared with their leader in one task.
+FAMILY = 512
+#: Sizes of texts at most this far apart are judged by by_differences even where shingles are shared in unlike numbers.
+RATIO = 1.25**2
+#: The pairs of a list are met in one task if they are so many at most, else in blocks of about BLOCK pairs.
+SMALL, BLOCK = 1 << 22, 1 << 22
 
 _STEP = 0xD1342543DE82EF95
 
@@ -83,31 +83,6 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def four_bits(signatures: np.ndarray) -> np.ndarray:
-    """Four bits of each register, 16 registers a word: enough to tell how many registers of two texts differ."""
-    n, m = signatures.shape
-    bits = np.zeros((n, -(-m // 16) * 16), dtype=np.uint64)
-    bits[:, :m] = mix64(signatures) >> np.uint64(60)
-    shifts = (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, None, :]
-    return np.bitwise_or.reduce(bits.reshape(n, -1, 16) << shifts, axis=2).view(np.int64)
-
-
-def differing(a: str, b: str, words: int):
-    """Registers in which the marks of two texts differ; a and b: columns of the marks."""
-    total = F.lit(0)
-    for k in range(words):
-        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
-        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        total = total + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
-
-
-def most_differing(m: int, threshold: float) -> int:
-    """A pair at the threshold differs in more registers a few times in a million (4.5 standard deviations)."""
-    p = (1 - threshold) * 15 / 16
-    return int(np.ceil(m * p + 4.5 * np.sqrt(m * p * (1 - p))))
-
-
 def slices(column: pa.Array, limit: int = SLICE_BYTES):
     """Consecutive (from, to) rows of a string column whose bytes stay within limit, at least one row each."""
     _, offsets = text_buffer(column)
@@ -118,9 +93,8 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES):
         at = to
 
 
-def sketcher(bands: int, rows: int, registers: int, width: int):
-    """For mapInArrow: (doc_id, key, norm, uid) to (doc_id, key, uid, bands, marks); bands is empty where there is no
-    word. marks holds four bits of each register."""
+def sketcher(bands: int, rows: int, width: int):
+    """For mapInArrow: (doc_id, key, norm, uid) to (doc_id, key, uid, bands); bands is empty where there is no word."""
 
     def run(batches):
         for batch in batches:
@@ -129,13 +103,12 @@ def sketcher(bands: int, rows: int, registers: int, width: int):
                 raw, offsets = text_buffer(text.slice(at, to - at))
                 parts = _weighted(raw, offsets, width)
                 n = to - at
-                signatures = prob_minhash(*parts, n, registers)
-                hashes, marks = band_hashes(signatures, bands, rows), four_bits(signatures)
+                hashes = band_hashes(prob_minhash(*parts, n, bands * rows), bands, rows)
                 some = np.bincount(parts[0], minlength=n) > 0
                 ends = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[some].reshape(-1)))
-                marks = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * marks.shape[1]), pa.array(marks.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, n) for k in (0, 1, 3)), lists, marks], ["doc_id", "key", "uid", "bands", "marks"])
+                columns = [*(batch.column(k).slice(at, n) for k in (0, 1, 3)), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "uid", "bands"])
 
     return run
 
@@ -164,62 +137,215 @@ def similarity(a_hash, a_weight, b_hash, b_weight) -> float:
     return float(np.sum(b[ia] / (mine * below_a[k] + below_b[-1] - below_b[k])))
 
 
-#: Words of a bitmap of shingles that a text has and its leader lacks, or the other way.
-DELTA_WORDS = 8
-_PAIR = "a long, b long, similarity double, plain boolean, size int, leader_size int, extra int, delta array<long>"
+#: Words of a bitmap of the occurrences in which a text differs from its leader.
+MARK_WORDS = 32
+_COMPARED = (
+    "id long, leader long, similarity double, size long, leader_size long, missing long, extra long, uneven long, "
+    "repeats long, heavy boolean, hash array<long>, own array<int>, theirs array<int>, marks array<long>"
+)
 
 
-def _bitmap(hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros(DELTA_WORDS, dtype=np.uint64)
-    bit = mix64(hashes) % np.uint64(64 * DELTA_WORDS)
+def _marks(hashes, low, high) -> np.ndarray:
+    """Bitmap of the occurrences low + 1 to high of each shingle."""
+    n = (high - low).astype(np.int64)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n).astype(np.int64)
+    bit = mix64(np.repeat(hashes, n) + nth.astype(np.uint64) * _seed(3)) % np.uint64(64 * MARK_WORDS)
+    out = np.zeros(MARK_WORDS, dtype=np.uint64)
     np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
     return out
 
 
-def verifier(width: int, threshold: float):
-    """For mapInArrow: (a, b, text_a, text_b) to _PAIR with the exact similarity of each pair. delta holds a bitmap of the
-    shingles of b that a lacks and one of those of a that b lacks; plain says that both hold the same shingles more than
-    once, and as often, so that all others have weight one; sizes are total weights."""
+def difference(a_hash, a_weight, b_hash, b_weight):
+    """The shingles whose weights differ in two bags: hash, weight in a, weight in b. Hashes ascend in both bags."""
+    hashes = np.union1d(a_hash, b_hash)
+    own, theirs = np.zeros(len(hashes)), np.zeros(len(hashes))
+    own[np.searchsorted(hashes, a_hash)] = a_weight
+    theirs[np.searchsorted(hashes, b_hash)] = b_weight
+    differ = own != theirs
+    return hashes[differ], own[differ], theirs[differ]
+
+
+def unevenness(size, leader_size, own, theirs) -> tuple[int, int, bool]:
+    """uneven, repeats and heavy of a text that differs from its leader in shingles of weight own here and theirs there.
+
+    Of two members, the shingles that both have in unlike numbers count, each by its lower number, at most the sum of
+    their uneven, unless both have some repeatedly that the leader lacks; then at most the lesser of their repeats more.
+    A heavy member is one that may be similar to a member of quite another size: of two others, with sizes at a ratio k
+    over RATIO, unlike shingles would have to make up (0.8 - 1 / k) / (1 - 1 / k), which is 0.44 or more, of the smaller
+    text, and they are at most 0.1 of the leader where that text is 0.25 of it."""
+    fewer = (own > 0) & (own < theirs)
+    more = (theirs > 0) & (own > theirs)
+    new = (theirs == 0) & (own > 1)
+    heavy = np.maximum(own, theirs)[fewer | more].sum() + new.sum() > 0.05 * leader_size or size < 0.25 * leader_size
+    return int(own[fewer].sum() + (own[more] - 1).sum() + new.sum()), int(own[new].sum()), bool(heavy)
+
+
+def comparer(width: int):
+    """For mapInArrow over (leader, role, id, norm), sorted so that a leader's text (role 0) comes before its members':
+    each member against its leader, as _COMPARED. hash, own and theirs are the shingles of differing weight; missing and
+    extra add up what the member lacks and has beyond its leader."""
 
     def run(batches):
+        head: tuple = (None, None, None)
+        last = None
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            left, right = batch.column(2), batch.column(3)
-            leaders = batch.column(1).to_pylist()
-            last: tuple = (None, None, None)
-            for at, to in slices(left):
-                raw, offsets = text_buffer(left.slice(at, to - at))
-                rows, hashes, weights = _weighted(raw, offsets, width)
+            leaders, roles, ids, text = (batch.column(k) for k in range(4))
+            leaders, roles, ids = leaders.to_pylist(), roles.to_pylist(), ids.to_pylist()
+            for at, to in slices(text):
+                rows, hashes, weights = _weighted(*text_buffer(text.slice(at, to - at)), width)
                 cut = np.searchsorted(rows, np.arange(to - at + 1))
+                out: list[list] = [[] for _ in range(14)]
                 for i in range(at, to):
-                    if leaders[i] != last[0]:
-                        _, h, w = _weighted(*text_buffer(right.slice(i, 1)), width)
-                        last = (leaders[i], h, w)
-                    lo, hi = cut[i - at], cut[i - at + 1]
-                    h, w = hashes[lo:hi], weights[lo:hi]
-                    extra = np.setdiff1d(h, last[1], assume_unique=True)
-                    missing = np.setdiff1d(last[1], h, assume_unique=True)
-                    often, theirs = w > 1, last[2] > 1
-                    plain = np.array_equal(h[often], last[1][theirs]) and np.array_equal(w[often], last[2][theirs])
-                    for k, v in enumerate((similarity(h, w, last[1], last[2]), plain, int(w.sum()), int(last[2].sum()), len(extra), np.concatenate([_bitmap(missing), _bitmap(extra)]).view(np.int64))):
-                        out[k].append(v)
-            kinds = (pa.float64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, t) for x, t in zip(out, kinds, strict=True)]], ["a", "b", "similarity", "plain", "size", "leader_size", "extra", "delta"])
+                    h, w = hashes[cut[i - at] : cut[i - at + 1]], weights[cut[i - at] : cut[i - at + 1]]
+                    if roles[i] == 0:
+                        head, last = (leaders[i], h, w), None
+                    elif ids[i] != last:  # a row that repeats id and text comes right after it
+                        last = ids[i]
+                        hash_, own, theirs = difference(h, w, head[1], head[2])
+                        uneven, repeats, heavy = unevenness(w.sum(), head[2].sum(), own, theirs)
+                        lack, more = np.maximum(theirs - own, 0).sum(), np.maximum(own - theirs, 0).sum()
+                        marks = _marks(hash_, np.minimum(own, theirs), np.maximum(own, theirs))
+                        sums = (w.sum(), head[2].sum(), lack, more, uneven, repeats)
+                        arrays = (hash_.view(np.int64), own.astype(np.int32), theirs.astype(np.int32), marks.view(np.int64))
+                        row = (ids[i], head[0], similarity(h, w, head[1], head[2]), *map(int, sums), heavy, *arrays)
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+                ints, lists = pa.list_(pa.int32()), pa.list_(pa.int64())
+                kinds = [pa.int64()] * 2 + [pa.float64()] + [pa.int64()] * 6 + [pa.bool_(), lists, ints, ints, lists]
+                names = [field.split()[0] for field in _COMPARED.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+
+    return run
+
+
+def similarity_of_members(a, b, leader_size: float) -> float:
+    """Exact similarity of two texts from how each differs from one leader: (hash, own, theirs) of either. What neither
+    differs in has one weight in both, so it counts as one shingle of that weight."""
+    hashes = np.union1d(a[0], b[0])
+    at, bt = np.searchsorted(hashes, a[0]), np.searchsorted(hashes, b[0])
+    x = np.zeros(len(hashes) + 1)
+    x[at], x[bt] = a[2], b[2]
+    x[-1] = leader_size - x.sum()
+    y = x.copy()
+    x[at], y[bt] = a[1], b[1]
+    ia, ib = np.flatnonzero(x), np.flatnonzero(y)
+    return similarity(ia, x[ia], ib, y[ib])
+
+
+def member_verifier():
+    """For mapInArrow: (a, b, leader_size, differences of a, differences of b) to (a, b, similarity)."""
+
+    def run(batches):
+        for batch in batches:
+            scores = []
+            for i in range(batch.num_rows):
+                arrays = [np.asarray(batch.column(k)[i].values) for k in range(3, 9)]
+                scores.append(similarity_of_members(arrays[:3], arrays[3:], float(batch.column(2)[i].as_py())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["a", "b", "similarity"])
 
     return run
 
 
-def may_reach(threshold: float):
-    """Whether two texts that were compared with one leader can be as similar as the threshold. Where the shingles that
-    occur more than once are those of the leader, probability Jaccard is shared weight over united weight. What both
-    share with the leader is at most what neither lacks, and what they share beyond it at most what their extras
-    overlap; bitmaps bound both from above, so no pair is lost. Columns: those of a text, and with their_ in front those
-    of another."""
-    union = lambda at: sum((F.bit_count(F.col("delta")[k].bitwiseOR(F.col("their_delta")[k])) for k in range(at, at + DELTA_WORDS)), F.lit(0))
-    most = F.col("leader_size") - union(0) + F.col("extra") + F.col("their_extra") - union(DELTA_WORDS)
-    fits = most >= F.lit(threshold) * (F.col("size") + F.col("their_size") - most) - F.lit(1e-9)
-    known = F.col("plain") & F.col("their_plain") & (F.col("leader") == F.col("their_leader"))
-    return ~F.coalesce(known, F.lit(False)) | fits
+def _blocks(work):
+    """Blocks on a side into which the pairs of a list are dealt."""
+    return F.when(work <= SMALL, F.lit(1)).otherwise(F.ceil(F.sqrt(work / BLOCK)).cast("int"))
+
+
+def _meet(left: DataFrame, right: DataFrame, on: list[str], condition) -> DataFrame:
+    """(leader, id, their_id) of the rows of left and right that agree in on and meet the condition, in which the right
+    columns have their_ in front. Both hold blocks, the same for all rows of a list: pairs of a large list are dealt
+    into blocks x blocks tasks."""
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    left = left.withColumn("row", own).withColumn("column", F.explode(every)).drop("blocks")
+    right = right.withColumn("column", own).withColumn("row", F.explode(every)).drop("blocks")
+    keys = [*on, "row", "column"]
+    right = right.select(*keys, *[F.col(c).alias(f"their_{c}") for c in right.columns if c not in keys])
+    return left.join(right, keys).where(condition).select("leader", "id", "their_id")
+
+
+def _judged(rel: DataFrame, threshold: float) -> DataFrame:
+    """rel with w, free and odd: whether a text has to be judged pair by pair (see by_differences)."""
+    t = threshold
+    slack = F.col("uneven") * ((RATIO - t) / (1 + t))
+    rel = rel.withColumn("w", (F.col("missing") + t * F.col("extra")) / (1 + t) - slack)
+    rel = rel.withColumn("free", F.col("leader_size") * ((1 - t) / (1 + t)))
+    return rel.withColumn("odd", F.col("heavy") | (F.col("far") & (F.col("uneven") > 0) & (F.col("w") <= F.col("free"))))
+
+
+def by_differences(rel: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (leader, id, their_id) of members of one leader that may be as similar as the threshold t, by a
+    prefix-filtered join on what they differ from the leader in; but for those that by_sizes judges.
+
+    Let m and e be the occurrences that a text misses and has beyond the leader of size n, w = (m + t e) / (1 + t), and
+    o the differences that two texts share. If no shingle is in both in unlike numbers, their similarity reaches t if and
+    only if o >= w + w' - n (1 - t) / (1 + t). If some are, of total weight r and with sizes at a ratio up to RATIO, it
+    can only if o >= w + w' - n (1 - t) / (1 + t) - r (RATIO - t) / (1 + t), and w is made smaller by each text's part.
+    A text of another class than the leader isn't linked with it, so gap = w - n (1 - t) / (1 + t) > 0 (if smaller w has
+    no gap, it is odd). So o >= gap + w' for each partner, from which o >= (1 + t) gap follows: two texts meet in the
+    first d - need + 1 of their d differences, in any order all members agree on. Rare ones come first, so what a whole
+    family has in common is not met on. rel: members of families that hold several classes: leader, id, label, far (of
+    another class than the leader), and the columns of _COMPARED."""
+    t = threshold
+    each = _judged(rel, t).where("not odd").withColumn("d", F.col("missing") + F.col("extra"))
+    need = F.ceil(F.when(F.col("far"), (1 + t) * (F.col("w") - F.col("free"))).otherwise(F.col("w")) - 1e-6)
+    each = each.withColumn("prefix", F.col("d") - F.greatest(need, F.lit(1)) + 1)
+    each = each.withColumn("repeated", F.col("repeats") > 0)
+    columns = ["leader", "id", "label", "far", "repeated", "w", "d", "prefix", "free"]
+    at = each.where("prefix > 0").select(*columns, F.inline(F.arrays_zip("hash", "own", "theirs")))
+    nth = F.explode(F.sequence(F.least("own", "theirs") + 1, F.greatest("own", "theirs")))
+    at = at.select(*columns, "hash", nth.alias("nth")).select(*columns, F.xxhash64("hash", "nth").alias("element"))
+    same = Window.partitionBy("leader", "element")
+    far = F.col("far").cast("long")
+    at = at.withColumn("held", F.count(F.lit(1)).over(same)).withColumn("n_far", F.sum(far).over(same))
+    at = at.withColumn("low", F.min("label").over(same)).withColumn("high", F.max("label").over(same))
+    # What only one class has, or only texts linked with the leader, can be shared by no pair that is looked for; it
+    # comes first in the order.
+    at = at.where("n_far > 0 and low <> high").drop("low", "high")
+    mine = Window.partitionBy("leader", "id")
+    rank = F.row_number().over(mine.orderBy("held", "element")) - F.count(F.lit(1)).over(mine)
+    at = at.withColumn("place", F.col("d") + rank).where("place <= prefix")
+    at = at.withColumn("blocks", _blocks(F.col("n_far") * F.col("held"))).drop("held", "n_far", "prefix")
+    # A pair's first meeting leaves at most this much to share.
+    rest = 1 + F.least(F.col("d") - F.col("place"), F.col("their_d") - F.col("their_place"))
+    once = ~F.col("their_far") | (F.col("id") < F.col("their_id"))
+    reach = F.col("w") + F.col("their_w") - F.col("free") <= rest + 1e-6
+    at = stage_table(at, "near-elements")
+    return _meet(at.where("far"), at, ["leader", "element"], (F.col("label") != F.col("their_label")) & ~(F.col("repeated") & F.col("their_repeated")) & once & reach)
+
+
+def by_sizes(rel: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (leader, id, their_id) that may be as similar as the threshold t, of an odd text and another member of its
+    leader or of two texts with repeats.
+
+    Where shingles are shared in unlike numbers, of total weight r at most, similarity reaches t only if
+    (1 + t) o + r (k - t) >= t (x + y) and o >= t min(x, y), for sizes x and y, their ratio k and an overlap of o, which
+    is bounded from above by bitmaps of the differences from the leader. rel as in by_differences."""
+    t = threshold
+    rel = _judged(rel, t)
+    family = rel.groupBy("leader").agg(
+        F.sum(F.col("odd").cast("long")).alias("n_odd"), F.sum((F.col("repeats") > 0).cast("long")).alias("n_repeats"), F.count(F.lit(1)).alias("held")
+    )
+    family = family.where("n_odd > 0 or n_repeats > 1")
+    family = family.select("leader", _blocks(F.col("n_odd") * F.col("held") + F.col("n_repeats") * F.col("n_repeats")).alias("blocks"))
+    each = rel.select("leader", "id", "label", "far", "odd", "size", "leader_size", "missing", "extra", "uneven", "repeats", "marks").join(family, "leader")
+    either = (F.col("marks")[k].bitwiseOR(F.col("their_marks")[k]) for k in range(MARK_WORDS))
+    marked = F.col("missing") + F.col("extra") + F.col("their_missing") + F.col("their_extra") - sum((F.bit_count(x) for x in either), F.lit(0))
+
+    def sharable(extra: str, repeats: str, uneven: str, others: str):
+        """Of what a text has beyond the leader, repeats can be shared only once unless the other has some too."""
+        return F.col(extra) - F.when(F.col(others) > 0, 0).otherwise(F.greatest(F.col(repeats) - F.col(uneven), F.lit(0)))
+
+    beyond = F.least(sharable("extra", "repeats", "uneven", "their_repeats"), sharable("their_extra", "their_repeats", "their_uneven", "repeats"))
+    shared = F.least(marked, F.least("missing", "their_missing") + beyond)
+    overlap = F.col("leader_size") - F.col("missing") - F.col("their_missing") + shared
+    small, large = F.least("size", "their_size"), F.greatest("size", "their_size")
+    unlike = F.col("uneven") + F.col("their_uneven") + F.least("repeats", "their_repeats")
+    reach = ((1 + t) * overlap + unlike * (large / small - t) >= t * (small + large) - 1e-6) & (overlap >= t * small - 1e-6)
+    wanted = reach & (F.col("label") != F.col("their_label")) & (F.col("far") | F.col("their_far"))
+    odd = _meet(each.where("odd"), each, ["leader"], wanted & (~F.col("their_odd") | (F.col("id") < F.col("their_id"))))
+    again = each.where("not odd and repeats > 0")
+    return odd.union(_meet(again, again, ["leader"], wanted & (F.col("id") < F.col("their_id"))))
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -257,7 +383,6 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     bands: int = BANDS,
     rows: int = ROWS,
-    registers: int = REGISTERS,
 ) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of its class), class_size (rows of the class),
     n_texts (different texts of the class), kept (the one row of the class that stays) and text_key.
@@ -266,13 +391,13 @@ def near_duplicates(
     start, by MD5; different texts are linked when their probability Jaccard similarity over weighted five-word shingles
     is at least the threshold. Classes are the connected components of the links.
 
-    Candidates are texts that share a band of the signature and differ in no more registers than a pair at the threshold
-    does. First each text is compared with one leader, the member of its buckets that meets most others over all its
-    buckets, as the original of a family of copies does. Then buckets that still hold several classes are gone through:
-    their members are compared with the bucket's leader, and those outside its largest class with all members of other
-    classes that their differences from a common leader don't rule out; where that is many, members meet in the finer buckets that they
-    share with a further band. What is large even then is compared in full, and so are, in blocks, the pairs of a large
-    bucket that share no further band. So no bucket is cut off, and the pairs within a class are never listed.
+    Candidates are texts that share a band of the signature. Each bucket has a leader, the member that meets most others
+    over all its buckets, as the original of a family of copies does. Every member is compared in full with the leaders
+    of its buckets: a leader's text goes to the members by tasks of so many members, each member's text to its leaders.
+    Members of a bucket that are then still of different classes are judged by their differences from the leader they
+    have in common, without their texts: by_differences and by_sizes leave out only pairs that can't reach the
+    threshold, and what they find is compared exactly. So pairs grow with the members, no bucket is cut off, and the
+    pairs within a class are never listed.
 
     A text of one to four words has one shingle. Texts without words (also null) form one class, as equal texts. Null
     ids are larger than all others; a class of null ids alone has class_id null. Rows repeated with the same id and
@@ -281,121 +406,71 @@ def near_duplicates(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), _normalised(text_col).alias("norm"))
     base = base.select("doc_id", F.unhex(F.md5("norm")).alias("key"), "norm")
     numbered = base.withColumn("uid", F.monotonically_increasing_id())  # written once, so that repeated rows differ
-    sketches = numbered.mapInArrow(sketcher(bands, rows, registers, width), "doc_id long, key binary, uid long, bands array<long>, marks array<long>")
+    sketches = numbered.mapInArrow(sketcher(bands, rows, width), "doc_id long, key binary, uid long, bands array<long>")
     sketches = stage_table(sketches, "near-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    texts = sketches.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    texts = sketches.groupBy("key").agg(first.alias("first"), F.count(F.lit(1)).alias("n_rows"), F.first("bands").alias("bands"))
     texts = stage_table(texts.withColumn("id", F.col("first.uid")), "near-texts")
+    labels = _labels(base, texts, width, threshold)
+    named = texts.select("key", "id", "first", "n_rows")
+    if labels is not None:
+        named = named.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        classes = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("n_rows").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
+        named = named.select("key", "label").join(classes, "label").select("key", "first", "class_size", "n_texts")
+    else:
+        named = named.select("key", "first", F.col("n_rows").alias("class_size"), F.lit(1).cast("long").alias("n_texts"))
+    named = stage_table(named, "near-classes", shrink=4)
+    out = sketches.select("doc_id", "key", "uid").join(named, "key")
+    return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_texts", (F.col("uid") == F.col("first.uid")).alias("kept"), F.col("key").alias("text_key"))
+
+
+def _labels(base: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame | None:
+    """(id, label) of the texts that are linked with others, or None where no two texts share a bucket."""
     members = texts.select("id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keep_on_disk(members.join(shared, "bucket"))
-    central = members.groupBy("id").agg(F.sum("n").alias("meets"), F.sort_array(F.collect_list("bucket")).alias("shared"))
-    central = keep_on_disk(central.join(texts.select("id", "key", F.col("first.doc_id").alias("doc_id"), "marks"), "id"))
-    members = members.select("bucket", "id")
-    wanted = central.select(F.col("id"), F.col("key").alias("of"), F.col("doc_id").alias("at_id"))
-    held = base.join(wanted, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
-    held = stage_table(held.select("id", "norm").dropDuplicates(["id"]), "near-held")
-    near = differing("marks", "their_marks", -(-registers // 16)) <= most_differing(registers, threshold)
-
-    def theirs(df: DataFrame) -> DataFrame:
-        return df.select(*[F.col(c).alias(c if c == "bucket" else f"their_{c}") for c in df.columns])
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(held.select(F.col("id").alias("a"), F.col("norm").alias("text_a")), "a")
-        full = full.join(held.select(F.col("id").alias("b"), F.col("norm").alias("text_b")), "b")
-        return stage_table(full.select("a", "b", "text_a", "text_b").mapInArrow(verifier(width, threshold), _PAIR), "near-compared", shrink=4)
-
-    def with_leader(of: DataFrame) -> DataFrame:
-        """Each member of a bucket with the bucket's leader, if that is of another class."""
-        heads = of.join(central.select("id", "meets"), "id").groupBy("bucket").agg(F.max(F.struct("meets", "id", "label")).alias("lead"))
-        met = of.join(heads.select("bucket", F.col("lead.id").alias("their_id"), F.col("lead.label").alias("their_label")), "bucket").where("label <> their_label")
-        return marked_pairs(met.select("id", "their_id").distinct())
-
-    def marked_pairs(met: DataFrame) -> DataFrame:
-        marks = central.select("id", "marks")
-        return met.join(marks, "id").join(theirs(marks), "their_id").where(near).select("id", "their_id")
-
-    def as_pairs(met: DataFrame) -> DataFrame:
-        return met.select(F.greatest("id", "their_id").alias("a"), F.least("id", "their_id").alias("b")).distinct()
-
-    heads = members.join(central.select("id", "meets"), "id").groupBy("bucket").agg(F.max(F.struct("meets", "id")).alias("lead"))
-    chosen = members.join(heads, "bucket").groupBy("id").agg(F.max("lead").alias("lead")).select("id", F.col("lead.id").alias("their_id"))
-    chosen = keep_on_disk(chosen)
-    first_pairs = marked_pairs(chosen.where("id <> their_id")).select(F.col("id").alias("a"), F.col("their_id").alias("b"))
-    met = compared(first_pairs)
-    # What is known of each text by its leader; a leader differs from itself in nothing.
-    profile = met.select(F.col("a").alias("id"), F.col("b").alias("leader"), "plain", "size", "leader_size", "extra", "delta")
-    itself = met.groupBy(F.col("b").alias("id")).agg(F.lit(True).alias("plain"), F.first("leader_size").alias("size"))
-    itself = itself.join(profile.select("id"), "id", "left_anti")
-    nothing = F.array_repeat(F.lit(0).cast("long"), 2 * DELTA_WORDS)
-    profile = profile.unionByName(itself.select("id", F.col("id").alias("leader"), "plain", "size", F.col("size").alias("leader_size"), F.lit(0).alias("extra"), nothing.alias("delta")))
-    profile = keep_on_disk(central.select("id", "marks", "shared").join(profile, "id", "left"))
-    done = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = met.where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
+    members = stage_table(members.join(shared, "bucket"), "near-members", shrink=4)
+    if members.isEmpty():
+        return None
+    meets = stage_table(members.groupBy("id").agg(F.sum("n").alias("meets")), "near-meets", shrink=4)
+    heads = members.join(meets, "id").groupBy("bucket").agg(F.max(F.struct("meets", "id")).alias("lead"))
+    heads = stage_table(heads.select("bucket", F.col("lead.id").alias("leader")), "near-heads", shrink=4)
+    met = members.select("bucket", "id").join(heads, "bucket").where("id <> leader")
+    pairs = stage_table(met.select("id", "leader").distinct(), "near-pairs", shrink=4)
+    compared = _with_leaders(base, texts, pairs, width)
+    links = compared.where(F.col("similarity") >= threshold - 1e-12).select(F.col("id").alias("a"), F.col("leader").alias("b"))
     labels = _components(links)
-    level = members.withColumn("path", F.array("bucket"))
-
-    def still_mixed(level: DataFrame) -> DataFrame:
-        """Members of the level's buckets that hold several classes, with the bucket's largest class."""
-        marked = level.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        kinds = marked.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = kinds.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("held"))
-        mixed = mixed.where(F.col("held") > F.col("most.n")).select("bucket", F.col("most.label").alias("main"), ((F.col("held") - F.col("most.n")) * F.col("held")).alias("work"))
-        return keep_on_disk(marked.join(mixed, "bucket"))
-
-    def link(more: DataFrame) -> None:
-        nonlocal done, links, labels
-        more = stage_table(more.join(done, ["a", "b"], "left_anti"), "near-pairs", shrink=8)
-        if not more.isEmpty():
-            new = compared(more).where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
-            done = done.union(more)
-            if not new.isEmpty():
-                links = links.union(new)
-                labels = _components(links)
-
-    once = (F.col("label") == F.col("main")) | (F.col("id") < F.col("their_id"))
-    unlike = (F.col("label") != F.col("their_label")) & once & near & may_reach(threshold)
-    both = F.array_intersect("shared", "their_shared")
-    cut = []
-    for depth in range(1, DEEPEST + 1):
-        mixed = still_mixed(level)
-        if mixed.isEmpty():
-            break
-        link(as_pairs(with_leader(mixed)))
-        mixed = still_mixed(level)
-        small = mixed if depth == DEEPEST else mixed.where(F.col("work") <= SMALL)
-        small = small.select("bucket", "path", "id", "label", "main").join(profile, "id")
-        other = theirs(small.where("label <> main").drop("main", "path"))
-        # A pair is met where the path begins its list of shared buckets, and nowhere else.
-        first = F.slice(both, 1, depth) == F.col("path")
-        link(as_pairs(small.join(other, "bucket").where(unlike & first)))
-        large = mixed.where(F.col("work") > SMALL)
-        if depth == DEEPEST or large.isEmpty():
-            break
-        cut.append(large.select("bucket", "id", "path"))
-        again = large.select("id", "bucket", "path").join(members.select("id", F.col("bucket").alias("next")), "id").where(F.col("next") > F.element_at("path", -1))
-        again = again.select(F.xxhash64("bucket", "next").alias("bucket"), "id", F.concat("path", F.array("next")).alias("path"))
-        shared = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        level = stage_table(again.join(shared, "bucket"), "near-members", shrink=4)
-    # Pairs whose shared buckets end with the path of a bucket that was cut finer met at no further level. They come last,
-    # as labels leave fewest pairs then.
-    for of in reversed(cut):
-        mixed = still_mixed(of)
-        if mixed.isEmpty():
-            continue
-        blocks = F.ceil(F.sqrt(F.col("work") / BLOCK)).cast("int")
-        every, own = F.sequence(F.lit(0), blocks - 1), F.pmod(F.xxhash64("id"), blocks).cast("int")
-        mixed = mixed.select("bucket", "path", "id", "label", "main", own.alias("own"), every.alias("every")).join(profile, "id")
-        other = mixed.where("label <> main").withColumn("row", F.explode("every")).withColumnRenamed("own", "column")
-        other = other.drop("main", "path", "every")
-        other = other.select("bucket", "row", "column", *[F.col(c).alias(f"their_{c}") for c in other.columns if c not in ("bucket", "row", "column")])
-        dealt = mixed.withColumn("column", F.explode("every")).withColumnRenamed("own", "row").drop("every")
-        link(as_pairs(dealt.join(other, ["bucket", "row", "column"]).where(unlike & (both == F.col("path")))))
-    named = texts.select("key", "id", "first", "n_rows").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    classes = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("n_rows").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
-    named = stage_table(named.select("key", "label").join(classes, "label").select("key", "first", "class_size", "n_texts"), "near-classes", shrink=4)
-    out = sketches.select("doc_id", "key", "uid").join(named, "key")
-    return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", "n_texts", (F.col("uid") == F.col("first.uid")).alias("kept"), F.col("key").alias("text_key"))
+
+    rel = compared.drop("similarity").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    theirs = labels.select(F.col("id").alias("leader"), F.col("label").alias("leader_label"))
+    rel = rel.join(theirs, "leader", "left").withColumn("far", F.col("label") != F.coalesce("leader_label", "leader"))
+    several = rel.groupBy("leader").agg(F.max("far").alias("open"), F.count(F.lit(1)).alias("n")).where("open and n > 1").select("leader")
+    rel = stage_table(rel.drop("leader_label").join(several, "leader"), "near-open")
+    found = by_differences(rel, threshold).union(by_sizes(rel, threshold))
+    found = stage_table(found.distinct(), "near-found", shrink=8)
+    if found.isEmpty():
+        return labels
+    sides = rel.select("leader", "id", "leader_size", "hash", "own", "theirs")
+    full = found.join(sides, ["leader", "id"]).join(sides.drop("leader_size").toDF("leader", "their_id", "their_hash", "their_own", "their_theirs"), ["leader", "their_id"])
+    full = full.select("id", "their_id", "leader_size", "hash", "own", "theirs", "their_hash", "their_own", "their_theirs")
+    more = stage_table(full.mapInArrow(member_verifier(), "a long, b long, similarity double"), "near-verified", shrink=8)
+    more = more.where(F.col("similarity") >= threshold - 1e-12).select("a", "b")
+    return labels if more.isEmpty() else _components(links.union(more))
+
+
+def _with_leaders(base: DataFrame, texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """Each pair (id, leader) compared in full. A leader's members are dealt into tasks of FAMILY members, and the
+    leader's text goes to each of them once."""
+    family = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("tasks"))
+    family = stage_table(family, "near-families", shrink=4)
+    to_members = pairs.join(family, "leader").select("leader", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("role"), "id")
+    to_leaders = family.select("leader", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role"), F.col("leader").alias("id"))
+    at = texts.select("id", F.col("key").alias("of"), F.col("first.doc_id").alias("at_id"))
+    routes = stage_table(to_members.union(to_leaders).join(at, "id"), "near-routes", shrink=4)
+    # A hash or broadcast join would do for few routes only; sorted, the plan is the same at every size.
+    dealt = base.join(routes.hint("merge"), (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("at_id")))
+    dealt = dealt.select("leader", "task", "role", "id", "norm").repartition("leader", "task")
+    dealt = dealt.sortWithinPartitions("leader", "task", "role", "id").select("leader", "role", "id", "norm")
+    return stage_table(dealt.mapInArrow(comparer(width), _COMPARED), "near-compared")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
