@@ -1,11 +1,15 @@
-"""The n-gram family. Grams of both sides are counted once, in one shuffle by pair, and every metric reads that table.
+"""The n-gram family. Both sides of a pair are in one row, so grams are counted and clipped there, over Arrow batches,
+and nothing is shuffled; only document frequencies need a table of grams.
 
-Input: pair_id, ref_tokens, pred_tokens (arrays). Tables of grams: pair_id, n, gram, ref_count, pred_count.
+Input: pair_id, ref_tokens, pred_tokens (arrays; null counts as empty). Tables of grams: pair_id, n, gram, ref_count,
+pred_count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verisheaf.functions.pairs import prf
@@ -17,78 +21,151 @@ def grams(tokens: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(tokens, i + 1, n), "\u0001"))
 
 
-def char_grams(text: Column, n: int) -> Column:
-    """The same for the characters of a text."""
-    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.substr(text, i, F.lit(n)))
-
-
-def gram_table(pairs: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), columns: tuple[str, str] = ("ref_tokens", "pred_tokens"), cut=grams) -> DataFrame:
-    sides = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), cut(F.col(column), n).alias("grams")) for n in orders for side, column in enumerate(columns)])
+def gram_table(pairs: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), columns: tuple[str, str] = ("ref_tokens", "pred_tokens")) -> DataFrame:
+    sides = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), grams(F.col(column), n).alias("grams")) for n in orders for side, column in enumerate(columns)])
     each = pairs.select("pair_id", F.explode(sides).alias("s")).select("pair_id", "s.n", "s.side", F.explode("s.grams").alias("gram"))
     return each.groupBy("pair_id", "n", "gram").agg(F.sum(1 - F.col("side")).alias("ref_count"), F.sum("side").alias("pred_count"))
 
 
+#: Tokens of both sides that are counted at once, unless one pair has more.
+SLICE_TOKENS = 1 << 20
+
+
+def _codes(keys: np.ndarray) -> np.ndarray:
+    """Small numbers for keys, equal where keys are."""
+    return np.unique(keys, return_inverse=True)[1].reshape(-1)
+
+
+def clip(tokens: np.ndarray, ref: np.ndarray, pred: np.ndarray, orders: tuple[int, ...]) -> list[np.ndarray]:
+    """Of each pair and order the clipped hits, the grams of the prediction and those of the reference, as three arrays
+    (pairs x orders). tokens: codes of all references and then all predictions; ref, pred: lengths of either side. A gram
+    of n is the gram of n - 1 before it and one more token, so grams are told apart exactly."""
+    rows, kinds = len(ref), int(tokens.max(initial=0)) + 1
+    lengths = np.concatenate([ref, pred])
+    row = np.repeat(np.concatenate([np.arange(rows)] * 2), lengths)
+    end = np.repeat(np.cumsum(lengths), lengths)
+    at, ids, split = np.arange(len(tokens)), row, int(ref.sum())
+    out = [np.zeros((rows, len(orders)), dtype=np.int64) for _ in range(3)]
+    for n in range(1, max(orders) + 1):
+        fits = at + n <= end[at]
+        at, ids = at[fits], ids[fits]
+        ids = _codes(ids * kinds + tokens[at + n - 1])
+        if n in orders:
+            size, of_pred = int(ids.max(initial=-1)) + 1, at >= split
+            home = np.zeros(size, dtype=np.int64)
+            home[ids] = row[at]
+            counts = [np.bincount(ids[side], minlength=size) for side in (of_pred, ~of_pred)]
+            for k, count in enumerate((np.minimum(*counts), *counts)):
+                out[k][:, orders.index(n)] = np.bincount(home, weights=count, minlength=rows).astype(np.int64)
+    return out
+
+
+def align(tokens: np.ndarray, ref: np.ndarray, pred: np.ndarray) -> list[np.ndarray]:
+    """Matches and chunks of each pair: the k-th occurrence of a token in the prediction is aligned with its k-th in the
+    reference, and chunks are runs of aligned tokens that follow one another in the reference too. Input as in clip."""
+    rows, kinds, split = len(ref), int(tokens.max(initial=0)) + 1, int(ref.sum())
+    lengths = np.concatenate([ref, pred])
+    home = np.repeat(np.arange(2 * rows), lengths)
+    order = np.lexsort((tokens, home))
+    same = np.zeros(len(tokens), dtype=bool)
+    same[1:] = (home[order][1:] == home[order][:-1]) & (tokens[order][1:] == tokens[order][:-1])
+    place = np.arange(len(tokens))
+    nth = np.empty(len(tokens), dtype=np.int64)
+    nth[order] = place - np.maximum.accumulate(np.where(same, 0, place))
+    row = home % max(rows, 1)
+    keys = _codes(row * kinds + tokens) * (int(nth.max(initial=0)) + 1) + nth
+    _, ours, theirs = np.intersect1d(keys[split:], keys[:split], assume_unique=True, return_indices=True)
+    by = np.argsort(ours)
+    ours, theirs = ours[by], theirs[by]
+    starts = np.ones(len(ours), dtype=bool)
+    starts[1:] = (theirs[1:] != theirs[:-1] + 1) | (row[split + ours[1:]] != row[split + ours[:-1]])
+    return [np.bincount(row[split + ours], weights=w, minlength=rows).astype(np.int64) for w in (np.ones(len(ours)), starts)]
+
+
+def _counted(pairs: DataFrame, columns: tuple[str, str], count, fields: str) -> DataFrame:
+    """pair_id and the fields that count(tokens, ref, pred) gives, in slices of rows of bounded length."""
+
+    def run(batches):
+        for batch in batches:
+            sides = [batch.column(k).fill_null([]) if batch.column(k).null_count else batch.column(k) for k in (1, 2)]
+            lengths = [np.asarray(side.value_lengths(), dtype=np.int64) for side in sides]
+            total, at = np.cumsum(sum(lengths)), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_TOKENS, side="right")))
+                flat = pa.concat_arrays([side.slice(at, to - at).flatten() for side in sides])
+                tokens = np.asarray(flat.dictionary_encode(null_encoding="encode").indices, dtype=np.int64)
+                found = count(tokens, *(x[at:to] for x in lengths))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *map(as_arrow, found)], names)
+                at = to
+
+    def as_arrow(x: np.ndarray) -> pa.Array:
+        if x.ndim == 1:
+            return pa.array(x, pa.int64())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1), pa.int64()))
+
+    names = ["pair_id", *(field.split()[0] for field in fields.split(", "))]
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    return pairs.select("pair_id", *columns).mapInArrow(run, f"pair_id {kind}, {fields}")
+
+
+def clipped(pairs: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), columns: tuple[str, str] = ("ref_tokens", "pred_tokens")) -> DataFrame:
+    """pair_id, and arrays hits, predicted, reference with an element for each order."""
+    return _counted(pairs, columns, lambda *sides: clip(*sides, orders), "hits array<bigint>, predicted array<bigint>, reference array<bigint>")
+
+
 def rouge_n(pairs: DataFrame, orders: tuple[int, ...] = (1, 2)) -> DataFrame:
     """MT4: pair_id, n, precision, recall, f1, of pairs without grams too."""
-    sums = gram_table(pairs, orders).groupBy("pair_id", "n").agg(F.sum(F.least("ref_count", "pred_count")).alias("overlap"), F.sum("pred_count").alias("predicted"), F.sum("ref_count").alias("reference"))
-    every = pairs.select("pair_id", F.explode(F.array(*map(F.lit, orders))).alias("n"))
-    filled = every.join(sums, ["pair_id", "n"], "left").fillna(0, ["overlap", "predicted", "reference"])
-    return filled.select("pair_id", "n", prf(F.col("overlap"), F.col("predicted"), F.col("reference")).alias("m")).select("pair_id", "n", "m.*")
+    each = F.arrays_zip(F.array(*map(F.lit, orders)).alias("n"), "hits", "predicted", "reference")
+    sums = clipped(pairs, orders).select("pair_id", F.inline(each)).toDF("pair_id", "n", "overlap", "predicted", "reference")
+    return sums.select("pair_id", "n", prf(F.col("overlap"), F.col("predicted"), F.col("reference")).alias("m")).select("pair_id", "n", "m.*")
 
 
 def meteor_exact(pairs: DataFrame) -> DataFrame:
-    """MT9: the k-th occurrence of a token in the prediction is aligned with its k-th in the reference; chunks are runs
-    of aligned tokens that follow one another in the reference too (WN4)."""
-    once = lambda c: pairs.select("pair_id", F.posexplode(c).alias("pos", "token")).withColumn("nth", F.row_number().over(Window.partitionBy("pair_id", "token").orderBy("pos")))
-    ref = once("ref_tokens").withColumnRenamed("pos", "ref_pos")
-    met = once("pred_tokens").join(ref, ["pair_id", "token", "nth"])
-    last = F.lag("ref_pos").over(Window.partitionBy("pair_id").orderBy("pos"))
-    runs = met.withColumn("starts", F.when(last.isNull() | (F.col("ref_pos") != last + 1), 1).otherwise(0))
-    sums = runs.groupBy("pair_id").agg(F.count(F.lit(1)).alias("matches"), F.sum("starts").alias("chunks"))
+    """MT9: from matches and chunks (WN4) of each pair."""
+    lengths = [F.coalesce(F.size(c), F.lit(0)).alias(n) for c, n in (("ref_tokens", "n_ref"), ("pred_tokens", "n_pred"))]
+    both = pairs.select(F.struct("pair_id", *lengths).alias("pair_id"), "ref_tokens", "pred_tokens")
+    sums = _counted(both, ("ref_tokens", "pred_tokens"), align, "matches bigint, chunks bigint").select("pair_id.*", "matches", "chunks")
     m, c, r, p = F.col("matches"), F.col("chunks"), F.col("n_ref"), F.col("n_pred")
     mean = 10 * (m / p) * (m / r) / ((m / r) + 9 * (m / p))
-    score = F.when((r == 0) & (p == 0), 1.0).when(m.isNull(), 0.0).otherwise(mean * (1 - 0.5 * F.pow(c / m, F.lit(3))))
-    return pairs.select("pair_id", F.size("ref_tokens").alias("n_ref"), F.size("pred_tokens").alias("n_pred")).join(sums, "pair_id", "left").select("pair_id", score.alias("meteor_exact"))
-
-
-def _clipped(pairs: DataFrame) -> DataFrame:
-    return gram_table(pairs).groupBy("pair_id", "n").agg(F.sum(F.least("ref_count", "pred_count")).alias("hits"), F.sum("pred_count").alias("total"))
+    score = F.when((r == 0) & (p == 0), 1.0).when(m == 0, 0.0).otherwise(mean * (1 - 0.5 * F.pow(c / m, F.lit(3))))
+    return sums.select("pair_id", score.alias("meteor_exact"))
 
 
 def sentence_bleu(pairs: DataFrame) -> DataFrame:
     """MT10: BLEU-4 with 0.1 in place of a numerator of 0 (and 1 in place of a total of 0); 0 without a shared word."""
-    by = _clipped(pairs).groupBy("pair_id").pivot("n", [1, 2, 3, 4]).agg(F.first("hits").alias("hits"), F.first("total").alias("total"))
-    lengths = pairs.select("pair_id", F.size("ref_tokens").alias("n_ref"), F.size("pred_tokens").alias("n_pred"))
-    log = lambda n: F.log(F.when(F.coalesce(f"{n}_hits", F.lit(0)) > 0, F.col(f"{n}_hits")).otherwise(0.1) / F.greatest(F.coalesce(f"{n}_total", F.lit(0)), F.lit(1)))
-    mean = F.exp((log(1) + log(2) + log(3) + log(4)) / 4)
-    short = F.when(F.col("n_pred") > F.col("n_ref"), 1.0).otherwise(F.exp(1 - F.try_divide(F.col("n_ref"), F.col("n_pred"))))
-    return lengths.join(by, "pair_id", "left").select("pair_id", F.when((F.col("n_pred") == 0) | (F.coalesce("1_hits", F.lit(0)) == 0), 0.0).otherwise(short * mean).alias("bleu4"))
+    log = lambda n: F.log(F.when(F.col("hits")[n] > 0, F.col("hits")[n]).otherwise(0.1) / F.greatest(F.col("predicted")[n], F.lit(1)))
+    mean = F.exp((log(0) + log(1) + log(2) + log(3)) / 4)
+    # As many 1-grams as tokens.
+    n_ref, n_pred = F.col("reference")[0], F.col("predicted")[0]
+    short = F.when(n_pred > n_ref, 1.0).otherwise(F.exp(1 - F.try_divide(n_ref, n_pred)))
+    return clipped(pairs).select("pair_id", F.when((n_pred == 0) | (F.col("hits")[0] == 0), 0.0).otherwise(short * mean).alias("bleu4"))
 
 
 def corpus_bleu(pairs: DataFrame) -> DataFrame:
     """MT11: one row, bleu1 to bleu4 of the whole corpus, with the smoothing of sentences."""
-    sums = _clipped(pairs).groupBy("n").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
-    wide = sums.agg(*[F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}{n}") for n in (1, 2, 3, 4) for c in ("hits", "total")])
-    lengths = pairs.agg(F.sum(F.size("ref_tokens")).alias("n_ref"), F.sum(F.size("pred_tokens")).alias("n_pred"))
+    sums = [F.sum(F.col(c)[n - 1]).alias(f"{name}{n}") for n in (1, 2, 3, 4) for c, name in (("hits", "hits"), ("predicted", "total"))]
+    wide = clipped(pairs).agg(*sums, F.sum(F.col("reference")[0]).alias("n_ref"), F.sum(F.col("predicted")[0]).alias("n_pred"))
     log = lambda n: F.log(F.when(F.coalesce(f"hits{n}", F.lit(0)) > 0, F.col(f"hits{n}")).otherwise(0.1) / F.greatest(F.coalesce(f"total{n}", F.lit(0)), F.lit(1)))
     short = F.when(F.col("n_pred") > F.col("n_ref"), 1.0).otherwise(F.exp(1 - F.try_divide(F.col("n_ref"), F.col("n_pred"))))
     none = F.coalesce("hits1", F.lit(0)) == 0
-    # Both sides are one row.
-    joined = wide.join(lengths)
-    return joined.select(*[F.when(none, 0.0).otherwise(short * F.exp(sum((log(k) for k in range(1, n + 1)), F.lit(0.0)) / n)).alias(f"bleu{n}") for n in (1, 2, 3, 4)])
+    return wide.select(*[F.when(none, 0.0).otherwise(short * F.exp(sum((log(k) for k in range(1, n + 1)), F.lit(0.0)) / n)).alias(f"bleu{n}") for n in (1, 2, 3, 4)])
 
 
 def chrf(pairs: DataFrame, orders: int = 6, beta: float = 3.0) -> DataFrame:
     """MT12: per pair the mean over orders of the F score of character n-grams, white space left out; an order that
     neither side has doesn't count. Input: pair_id, ref_chars, pred_chars. The corpus score is the mean."""
-    texts = pairs.select("pair_id", F.array_join("ref_chars", "").alias("r"), F.array_join("pred_chars", "").alias("p"))
-    sums = gram_table(texts, tuple(range(1, orders + 1)), ("r", "p"), char_grams).groupBy("pair_id", "n").agg(F.sum(F.least("ref_count", "pred_count")).alias("hits"), F.sum("pred_count").alias("p"), F.sum("ref_count").alias("r"))
-    precision, recall = F.coalesce(F.try_divide("hits", "p"), F.lit(0.0)), F.coalesce(F.try_divide("hits", "r"), F.lit(0.0))
+    at = tuple(range(1, orders + 1))
+    sums = clipped(pairs, at, ("ref_chars", "pred_chars"))
     weight = beta * beta
-    score = F.coalesce(F.try_divide((1 + weight) * precision * recall, weight * precision + recall), F.lit(0.0))
-    by = sums.groupBy("pair_id").agg(F.avg(score).alias("chrf"))
-    return pairs.select("pair_id").join(by, "pair_id", "left").fillna(0.0, ["chrf"])
+
+    def score(n: int) -> Column:
+        hits, p, r = (F.col(c)[n - 1] for c in ("hits", "predicted", "reference"))
+        precision, recall = F.coalesce(F.try_divide(hits, p), F.lit(0.0)), F.coalesce(F.try_divide(hits, r), F.lit(0.0))
+        return F.when(p + r > 0, F.coalesce(F.try_divide((1 + weight) * precision * recall, weight * precision + recall), F.lit(0.0)))
+
+    scores = F.array_compact(F.array(*map(score, at)))
+    mean = F.aggregate(scores, F.lit(0.0), lambda total, x: total + x) / F.size(scores)
+    return sums.select("pair_id", F.when(F.size(scores) > 0, mean).otherwise(0.0).alias("chrf"))
 
 
 def cider_lite(pairs: DataFrame) -> DataFrame:
