@@ -26,9 +26,11 @@ def ordered_digest(rows: DataFrame, order: str, text: str) -> DataFrame:
     return rows.agg(F.sha2(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text])), 256).alias("digest"))
 
 
-def rule_hits(text: Column) -> Column:
-    """PV1, JN14: names of the sensitive patterns that occur, one compiled expression for each."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p if cased else "(?i)" + p), F.lit(name)) for name, p, cased in L.PRIVACY_RULES]))
+def rule_hits(text: Column, site_rules: tuple = ()) -> Column:
+    """PV1, JN14: names of the sensitive patterns that occur, one compiled expression for each. site_rules: further
+    rules (name, expression, whether case counts), such as for the names of a site's hosts, mounts and providers."""
+    rules = (*L.PRIVACY_RULES, *site_rules)
+    return F.array_compact(F.array(*[F.when(text.rlike(p if cased else "(?i)" + p), F.lit(name)) for name, p, cased in rules]))
 
 
 def suspicious_name(path: Column) -> Column:
@@ -45,7 +47,7 @@ def paths_by_blob(entries: DataFrame) -> DataFrame:
     return entries.where(F.coalesce("path", F.lit("")) != "").groupBy("oid").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 
-def history_findings(blobs: DataFrame, most_bytes: int = L.MOST_BLOB_BYTES) -> DataFrame:
+def history_findings(blobs: DataFrame, most_bytes: int = L.MOST_BLOB_BYTES, site_rules: tuple = ()) -> DataFrame:
     """PV1, PV2, PV4: distinct (rule, path, oid) of blobs (oid, paths, size, data). Large blobs are named and not read;
     content with a NUL among its first 8,192 bytes isn't searched. Content never leaves the scan."""
     label = F.array_min("paths")
@@ -55,12 +57,12 @@ def history_findings(blobs: DataFrame, most_bytes: int = L.MOST_BLOB_BYTES) -> D
     rules = F.concat(
         F.when(~small, F.array(F.lit("oversized-blob"))).otherwise(F.array().cast("array<string>")),
         F.when(small & F.exists("paths", suspicious_name), F.array(F.lit("sensitive-filename"))).otherwise(F.array().cast("array<string>")),
-        F.when(small & ~binary, rule_hits(text)).otherwise(F.array().cast("array<string>")),
+        F.when(small & ~binary, rule_hits(text, site_rules)).otherwise(F.array().cast("array<string>")),
     )
     return blobs.select(F.explode(rules).alias("rule"), label.alias("path"), F.substring("oid", 1, 12).alias("oid")).distinct()
 
 
-def tree_findings(files: DataFrame, allowed: tuple[str, ...] = (), most_bytes: int = L.MOST_BLOB_BYTES) -> DataFrame:
+def tree_findings(files: DataFrame, allowed: tuple[str, ...] = (), most_bytes: int = L.MOST_BLOB_BYTES, site_rules: tuple = ()) -> DataFrame:
     """PV3, PV4: distinct (rule, path) of files (path, length, content) of a working tree."""
     path = F.replace("path", F.lit("\\"), F.lit("/"))
     suffix = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
@@ -69,14 +71,14 @@ def tree_findings(files: DataFrame, allowed: tuple[str, ...] = (), most_bytes: i
         F.when(F.col("path").contains("\\"), F.array(F.lit("backslash-in-path"))).otherwise(empty),
         F.when(suffix.isin(*L.BLOCKED_SUFFIXES) & ~path.isin(*allowed), F.array(F.lit("blocked-extension"))).otherwise(empty),
         F.when(F.col("length") > most_bytes, F.array(F.lit("oversized-file"))).otherwise(empty),
-        F.when(suffix.isin(*L.TEXT_SUFFIXES), rule_hits(F.decode("content", "ISO-8859-1"))).otherwise(empty),
+        F.when(suffix.isin(*L.TEXT_SUFFIXES), rule_hits(F.decode("content", "ISO-8859-1"), site_rules)).otherwise(empty),
     )
     return files.select(F.explode(rules).alias("rule"), "path").distinct()
 
 
-def text_findings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def text_findings(rows: DataFrame, id_col: str, text_col: str, site_rules: tuple = ()) -> DataFrame:
     """PV1 over any text: (id, rule)."""
-    return rows.select(id_col, F.explode(rule_hits(F.coalesce(text_col, F.lit("")))).alias("rule"))
+    return rows.select(id_col, F.explode(rule_hits(F.coalesce(text_col, F.lit("")), site_rules)).alias("rule"))
 
 
 def report_key(text: str) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verisheaf.functions import lexicon as L
 from verisheaf.functions import records as R
 from verisheaf.functions import text as T
 from verisheaf.operators.quality import dense_ordinal, keep_first_of_two, reasons_of
@@ -66,15 +65,15 @@ def consistent_cases(cases: DataFrame, policy: str = "skip") -> DataFrame:
     return cases if policy == "record" else cases.where("consistent")
 
 
-def case_records(cases: DataFrame, prompt: str = L.CASE_PROMPT) -> DataFrame:
+def case_records(cases: DataFrame, prompt: str = "") -> DataFrame:
     """Records that ask for a diagnosis from a case's evidence."""
     return cases.withColumn("record", R.record(F.concat(F.lit(prompt + "\n"), F.col("evidence")), F.concat(F.lit("病理诊断："), F.col("diagnosis"))))
 
 
-def direct_records(records: DataFrame) -> DataFrame:
+def direct_records(records: DataFrame, prompt: str = "") -> DataFrame:
     """PR11, PR12: a record per case with all its images and its diagnosis alone; cases without either are left out."""
     found = records.withColumn("diagnosis", T.diagnosis_tail(R.first_content(F.col("messages"), "assistant"))).where((F.size("images") > 0) & (F.col("diagnosis") != ""))
-    return found.select("record_index", R.record(R.prompt_with_images(F.col("images"), L.DIRECT_PROMPT), F.concat(F.lit("病理诊断："), F.col("diagnosis")), F.col("images")).alias("record"))
+    return found.select("record_index", R.record(R.prompt_with_images(F.col("images"), prompt), F.concat(F.lit("病理诊断："), F.col("diagnosis")), F.col("images")).alias("record"))
 
 
 def take_first(rows: DataFrame, order: str, n: int) -> DataFrame:
