@@ -138,7 +138,7 @@ def privacy(spark, sf):
 
 
 _RULE_SQL = ", ".join("CASE WHEN regexp_matches(t, '{}') THEN '{}' END".format(("" if cased else "(?i)") + p.replace("'", "''"), name) for name, p, cased in L.PRIVACY_RULES)
-PRIVACY = f"WITH p AS (SELECT doc_id, substr(text, 1, 200) || ' ' || (CASE doc_id % 9 {' '.join(f'WHEN {i} THEN {v}' for i, v in enumerate(_PLANTED))} END) AS t FROM documents) SELECT doc_id, rule FROM (SELECT doc_id, unnest([{_RULE_SQL}]) AS rule FROM p) WHERE rule IS NOT NULL"
+PRIVACY = f"WITH p AS (SELECT doc_id, coalesce(text, '') || ' ' || (CASE doc_id % 9 {' '.join(f'WHEN {i} THEN {v}' for i, v in enumerate(_PLANTED))} END) AS t FROM documents) SELECT doc_id, rule FROM (SELECT doc_id, unnest([{_RULE_SQL}]) AS rule FROM p) WHERE rule IS NOT NULL"
 
 
 def blobs(spark, sf):
