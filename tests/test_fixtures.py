@@ -141,6 +141,17 @@ def test_two_keys(spark):
     assert {r["at"]: r.keep for r in Q.keep_first_of_two(rows, "at", "a", "b").collect()} == {1: True, 2: False, 3: True, 4: True}
 
 
+def test_null_keys_are_keys(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, None, "y"), (3, "b", None), (4, "c", None), (5, "d", "z")], "at long, a string, b string")
+    assert {r["at"]: r.keep for r in Q.keep_first_of_two(rows, "at", "a", "b").collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
+
+
+def test_site_rules(spark):
+    rows = spark.createDataFrame([(1, "see Made-Up-Host7"), (2, "none")], "id long, text string")
+    found = U.text_findings(rows, "id", "text", (("our-host", "made-up-host[0-9]", False),))
+    assert [tuple(r) for r in found.collect()] == [(1, "our-host")]
+
+
 def test_case_aggregation(spark):
     views = spark.createDataFrame([(10, 0, "汇管区炎症", "慢性肝炎", 100), (10, 1, "胆管损伤", "慢性肝炎", 100), (11, 2, "肝细胞脂肪变", "脂肪性肝病", 101), (12, 3, "x", "a", 1), (12, 4, "y", "b", 1)], "case long, i long, text string, dx string, src long")
     grouped = D.group_cases(views, "case", "i", "text", "dx", "src")

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark) -> None:
-    """Checkpoints go to the folder that spark.checkpoint.dir names; where it is unset, to a folder of our own."""
+    """Checkpoints go to the folder that spark.checkpoint.dir names; where it is unset and all runs on one machine, to a
+    folder of our own. On a cluster that would be a folder of the driver's, so it is an error there."""
     if spark.sparkContext.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="verisheaf-"))
 
 

@@ -69,17 +69,20 @@ def keep_first_of_two(rows: DataFrame, order: str, a: str, b: str) -> DataFrame:
 
     Whether a row is kept depends on earlier ones through shared keys, so the fold runs inside connected groups of rows;
     rows of which both keys are unique are kept outright. Groups come from min-label steps, so no task sees rows that it
-    needn't.
+    needn't. A null key is a key like any other.
     """
     from verisheaf.operators.graph import connected
 
-    counts = [rows.groupBy(k).agg(F.count(F.lit(1)).alias(f"__{k}")) for k in (a, b)]
-    marked = rows.join(counts[0], a).join(counts[1], b)
+    marked = rows
+    for k in (a, b):
+        counts = rows.groupBy(F.col(k).alias("__key")).agg(F.count(F.lit(1)).alias(f"__{k}"))
+        marked = marked.join(counts, F.col(k).eqNullSafe(F.col("__key"))).drop("__key")
     single = marked.where((F.col(f"__{a}") == 1) & (F.col(f"__{b}") == 1)).select(*rows.columns, F.lit(True).alias("keep"))
     shared = marked.where((F.col(f"__{a}") > 1) | (F.col(f"__{b}") > 1)).select(*rows.columns)
-    links = shared.select(F.concat(F.lit("a:"), F.col(a).cast("string")).alias("x"), F.concat(F.lit("b:"), F.col(b).cast("string")).alias("y"))
+    node = lambda side, k: F.coalesce(F.concat(F.lit(side + ":"), F.col(k).cast("string")), F.lit(side))
+    links = shared.select(node("a", a).alias("x"), node("b", b).alias("y"))
     groups = connected(links, "x", "y")
-    placed = shared.join(groups.select(F.col("node").alias("__node"), F.col("component").alias("__group")), F.concat(F.lit("a:"), F.col(a).cast("string")) == F.col("__node")).drop("__node")
+    placed = shared.join(groups.select(F.col("node").alias("__node"), F.col("component").alias("__group")), node("a", a) == F.col("__node")).drop("__node")
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         seen_a, seen_b, keep = set(), set(), []
