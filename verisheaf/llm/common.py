@@ -17,9 +17,12 @@ NOT_WHITE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset (tests on one machine), a folder of our own."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset and all runs on one machine (tests), a folder of
+    our own. On a cluster that would be a folder of the driver's, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='verisheaf-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
