@@ -20,8 +20,6 @@ from verisheaf.llm.common import WHITE, read_table, stage_table, text_of
 MOST_EACH = 10_000
 #: Limits of a prior's strength, in documents.
 WEAKEST, STRONGEST = 2.0, 1000.0
-#: How many log odds the path's prior may add or take.
-MOST_SHIFT = 1.0
 
 
 def features(text: Column) -> list[Column]:
@@ -166,7 +164,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", host_co
     p = 1 / (1 + F.exp(-F.col("odds")))
     out = evidence.join(sites, (F.col("host") == F.col("site_host")) & (F.col("path") == F.col("site_path")))
     prior = (F.col("path_s") - p + F.lit(k_path) * F.col("host_mean")) / (F.col("path_n") - 1 + F.lit(k_path))
-    shift = F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), _odds(prior) - _odds(F.lit(mean))))
+    shift = _odds(prior) - _odds(F.lit(mean))
     return out.select("row", p.alias("doc_score"), "host_mean", prior.alias("path_mean"), (1 / (1 + F.exp(-(F.col("odds") + shift)))).alias("score"))
 
 
