@@ -22,6 +22,12 @@ def complete_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame
     return left.join(right, on)
 
 
+def paired(left: DataFrame, right: DataFrame, on: str, value: str, other: str | None = None) -> DataFrame:
+    """JN4, JN5: (on, a, b), a value of the left and one of the right (of the same name unless other is given) for keys
+    that both sides have; other keys are left out, null keys too."""
+    return left.select(on, F.col(value).alias("a")).join(right.select(on, F.col(other or value).alias("b")), on)
+
+
 def last_wins_join(left: DataFrame, right: DataFrame, on: str, order: str) -> DataFrame:
     """JN2: inner join with the last right row of each key; left rows without one are dropped."""
     columns = [c for c in right.columns if c != on]

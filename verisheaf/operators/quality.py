@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -185,9 +187,11 @@ def config_contrast(settings: DataFrame, baseline: str, controlled: list[str], a
     return grid.select("file", "key", problem.alias("problem")).where("problem is not null")
 
 
-def adapter_components(keys: DataFrame, components: dict[str, list[str]], column: str = "key") -> DataFrame:
-    """DQ13: run and, for each component, whether a key names it."""
-    found = [F.bool_or(F.greatest(*[F.contains(F.col(column), F.lit(p)) for p in parts], F.lit(False))).alias(name) for name, parts in components.items()]
+def adapter_components(keys: DataFrame, components: dict[str, list[str | tuple[str, ...]]], column: str = "key") -> DataFrame:
+    """DQ13: run and, for each component, whether a key names it: has one of its parts, or all parts of a tuple."""
+    has = lambda part: F.contains(F.col(column), F.lit(part))
+    each = lambda part: has(part) if isinstance(part, str) else reduce(Column.__and__, map(has, part))
+    found = [F.bool_or(F.greatest(*map(each, parts), F.lit(False))).alias(name) for name, parts in components.items()]
     return keys.groupBy("run").agg(*found)
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from verisheaf.plans import io_plans, pair_plans, quality_plans, stats_plans, text_plans
+    from verisheaf.plans import check_plans, io_plans, pair_plans, quality_plans, stats_plans, text_plans
 
-    return [io_plans, pair_plans, quality_plans, stats_plans, text_plans]
+    return [check_plans, io_plans, pair_plans, quality_plans, stats_plans, text_plans]
 
 
 def queries() -> dict:
