@@ -71,16 +71,16 @@ def keep_first_of_two(rows: DataFrame, order: str, a: str, b: str) -> DataFrame:
 
     Whether a row is kept depends on earlier ones through shared keys, so the fold runs inside connected groups of rows;
     rows of which both keys are unique are kept outright. Groups come from min-label steps, so no task sees rows that it
-    needn't. A null key is a key like any other.
+    needn't. A null key is a key like any other; rows that tie in order go by their keys.
     """
     from verisheaf.operators.graph import connected
 
     marked = rows
-    for k in (a, b):
-        counts = rows.groupBy(F.col(k).alias("__key")).agg(F.count(F.lit(1)).alias(f"__{k}"))
-        marked = marked.join(counts, F.col(k).eqNullSafe(F.col("__key"))).drop("__key")
-    single = marked.where((F.col(f"__{a}") == 1) & (F.col(f"__{b}") == 1)).select(*rows.columns, F.lit(True).alias("keep"))
-    shared = marked.where((F.col(f"__{a}") > 1) | (F.col(f"__{b}") > 1)).select(*rows.columns)
+    for k, n in ((a, "__rows_a"), (b, "__rows_b")):
+        counts = rows.groupBy(F.col(k).alias("__value")).agg(F.count(F.lit(1)).alias(n))
+        marked = marked.join(counts, F.col(k).eqNullSafe(F.col("__value"))).drop("__value")
+    single = marked.where((F.col("__rows_a") == 1) & (F.col("__rows_b") == 1)).select(*rows.columns, F.lit(True).alias("keep"))
+    shared = marked.where((F.col("__rows_a") > 1) | (F.col("__rows_b") > 1)).select(*rows.columns)
     node = lambda side, k: F.coalesce(F.concat(F.lit(side + ":"), F.col(k).cast("string")), F.lit(side))
     links = shared.select(node("a", a).alias("x"), node("b", b).alias("y"))
     groups = connected(links, "x", "y")
@@ -88,7 +88,7 @@ def keep_first_of_two(rows: DataFrame, order: str, a: str, b: str) -> DataFrame:
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         seen_a, seen_b, keep = set(), set(), []
-        frame = frame.sort_values(order, kind="stable")
+        frame = frame.sort_values([order, a, b], kind="stable")
         for x, y in zip(frame[a], frame[b], strict=True):
             ok = x not in seen_a and y not in seen_b
             if ok:

