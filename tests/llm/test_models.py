@@ -1,6 +1,7 @@
 """Quality, toxicity, main text and licences: held-out accuracy, exact parts against brute force, awkward cases."""
 
 import itertools
+import os
 
 import pytest
 from cases import awkward, empty, words
@@ -11,7 +12,7 @@ from verisheaf.llm import licenses as L
 from verisheaf.llm import quality as Q
 from verisheaf.llm import toxicity as X
 
-SF = "/root/testdata/sf0.01"
+SF, COMMON = "/root/testdata/sf0.01", "/usr/share/common-licenses"
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +121,13 @@ def test_licences(spark):
     assert got[3].notices == "Apache-2.0,MIT" and got[3].n_notices == 2 and got[7].notices == "CC-BY-NC-4.0" and got[5].notices == ""
     assert L.scan_licenses(df.where("false"), L.catalog(spark)).count() == 0 and L.scan_licenses(df, L.catalog(spark, [])).where("license_id is not null or notices <> ''").count() == 0
     assert L.scan_licenses(awkward(spark), L.catalog(spark)).count() == awkward(spark).count()
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no folder of licence texts on this machine")
+def test_whole_licences(spark):
+    """Whole texts as published, and in capitals on other lines, are known; with a word more they are not."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(n, open(f"{COMMON}/{f}", encoding="utf-8").read()) for f, n in names.items() if os.path.exists(f"{COMMON}/{f}")]
+    rows = [(i * 3 + k, t) for i, (_, text) in enumerate(texts) for k, t in enumerate((text, text.upper().replace("\n", "  \n"), text + "\nmore"))]
+    got = {r.doc_id: r.license_id for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), L.catalog(spark)).collect()}
+    assert got == {i * 3 + k: n if k < 2 else None for i, (n, _) in enumerate(texts) for k in range(3)}

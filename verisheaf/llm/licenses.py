@@ -81,6 +81,21 @@ _TEXTS = (
     ("0BSD", _ISC_GRANT + _ISC_DISCLAIMER),
     ("Zlib", _ZLIB),
 )
+# MD5 of the canonical form (digest_of_all of canonical_lines) of longer licences as published.
+_DIGESTS = (
+    ("Apache-2.0", "3f4bdf128d873ad53471b7e9441114d0"),
+    ("GPL-1.0", "738cc3b112640d95d4cd79a58967ecea"),
+    ("GPL-2.0", "e374d0b43c25aed1a2b28951fe92a546"),
+    ("GPL-3.0", "4e2a5fb39fd6441859c05e128799e2e1"),
+    ("LGPL-2.0", "63ac11b5b2fcfe811ff161b9e5def0c5"),
+    ("LGPL-2.1", "b0e44c745072418c0ff11407a0bc4ffc"),
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", "a708f02208e9c42d3644490185833425"),
+    ("MPL-2.0", "35fb4d2625087f7fd780039aa7b4ebb2"),
+    ("CC0-1.0", "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("GFDL-1.2", "fd920ddc37a3d7e8c50763b83c95353c"),
+    ("GFDL-1.3", "69253b6f159e4a07012cc5d95badaa85"),
+)
 # Names under which notices cite a licence.
 _NAMES = (
     ("MIT", ("the MIT License", "MIT License", "MIT", "an MIT license")),
@@ -139,9 +154,13 @@ def digest_of_all(lines: Column) -> Column:
 
 
 def catalog(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license_id), one row per digest; of licences with one digest, the first by name."""
+    """(digest, license_id), one row per digest; of licences with one digest, the first by name. texts: in place of all
+    known texts and digests."""
     raw = spark.createDataFrame(texts if texts is not None else known_texts(), "license_id string, text string")
-    return raw.groupBy(digest_of_all(canonical_lines(F.col("text"))).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    rows = raw.select(digest_of_all(canonical_lines(F.col("text"))).alias("digest"), "license_id")
+    if texts is None:
+        rows = rows.unionByName(spark.createDataFrame(list(_DIGESTS), "license_id string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,10 +199,13 @@ def _sql_canonical(text: str) -> str:
 
 def sql() -> str:
     values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in known_texts())
+    digests = ", ".join(f"('{a}', '{b}')" for a, b in _DIGESTS)
     return rf"""
 WITH k AS (
-  SELECT md5(trim(regexp_replace({_sql_canonical('text')}, '[ \n]+', ' ', 'g'))) AS digest, min(license_id) AS license_id
-  FROM (VALUES {values}) AS t(license_id, text) GROUP BY 1
+  SELECT digest, min(license_id) AS license_id FROM (
+    SELECT md5(trim(regexp_replace({_sql_canonical('text')}, '[ \n]+', ' ', 'g'))) AS digest, license_id FROM (VALUES {values}) AS t(license_id, text)
+    UNION ALL SELECT digest, license_id FROM (VALUES {digests}) AS u(license_id, digest)
+  ) GROUP BY digest
 ), b AS (
   SELECT doc_id, {_sql_canonical("coalesce(text, '')")} AS lines FROM documents
 ), d AS (
