@@ -99,3 +99,30 @@ def test_separator_scan(spark):
     assert count_tokens(df.where("false"), 9).count() == 0
     with pytest.raises(Exception, match="whole number"):
         count_tokens(spark.createDataFrame([("a", 0, bytearray(b"abc"))], df.schema), 9).collect()
+
+
+def test_frequent_words_are_remembered(monkeypatch):
+    """Where there are more different words than an encoder remembers, only the rare ones are encoded again."""
+    e = WordEncoder(default_tokenizer(), remembered=400)
+    often = " ".join(f"{a}{b}" for a in "bcdfghjklm" for b in ("are", "ist!", "ONE", "über,", "42"))
+    texts = [f"{often} " + " ".join(f"{a}{b}{c}" for b in "aeiou" for c in "bcdfghjklmnpqrst") for a in "bcdfghjklmnpqrstvw"]
+    seen = []
+    monkeypatch.setattr(e, "_ids", lambda words, get=e._ids: seen.append(" ".join(words).split()) or get(words))
+    for t in texts:
+        ids, _ = e.encode(pa.array([t]), 1)
+        assert ids[:-1].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    assert len(e.known) <= 400 and sum(w.count("bare") for w in seen) == 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 31, 32, 33, 64, 65, 4095, 4096, 4097, 12_289])
+@pytest.mark.parametrize("kinds", [1, 2, 300, 1 << 32])
+def test_blocks_of_any_length(n, kinds):
+    """Few and many different ids, skewed and even, around the steps at which the coder learns; decoded in any company."""
+    draw = np.random.default_rng(n)
+    for ids in (draw.integers(0, kinds, n), draw.integers(0, kinds, n) // draw.integers(1, 9, n) ** 4, np.minimum(draw.geometric(0.3, n), kinds - 1)):
+        ids = ids.astype(np.uint32)
+        blocks = C.encode_blocks(ids)
+        assert (C.decode_blocks(blocks) == ids).all()
+        assert (C.decode_blocks(blocks[::-1]) == np.concatenate([ids[i : i + C.BLOCK] for i in range(0, n, C.BLOCK)][::-1])).all()
+    with pytest.raises(ValueError):
+        C.encode_blocks(ids, C.MOST + 1)

@@ -130,6 +130,20 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> tupl
     return mix64(np.add.reduceat(terms, first) + lengths.astype(np.uint64)), counts
 
 
+def row_hashes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit hash of every row's bytes, made as those of words; an empty row's is 0."""
+    lengths = np.diff(offsets)
+    out = np.zeros(len(lengths), dtype=np.uint64)
+    if len(raw):
+        place = np.arange(len(raw))
+        place -= np.repeat(offsets[:-1], lengths)
+        terms = _BYTE[raw]
+        terms *= _powers(int(lengths.max()) + 1)[place]
+        full = lengths > 0
+        out[full] = mix64(np.add.reduceat(terms, offsets[:-1][full]) + lengths[full].astype(np.uint64))
+    return out
+
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 

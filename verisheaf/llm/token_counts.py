@@ -21,7 +21,7 @@ from verisheaf.llm.tokens import default_tokenizer, encoder_for
 END_ID = 49407
 #: Bytes of a block, a multiple of an id's, and of a file. A file is one row of Spark's reader, so it has to be bounded.
 BLOCK_BYTES, FILE_BYTES = 1 << 20, 1 << 24
-TEXT_BYTES = 1 << 23
+TEXT_BYTES = 1 << 22
 
 
 def write_flat(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -45,13 +45,11 @@ def write_flat(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         doc_ids: list = []
 
         def flush():
-            ids = np.concatenate(held)
-            if len(ids) and int(ids.max()) > 0xFFFF:
-                raise ValueError("an id needs more than 16 bits")
             name = f"{uuid.uuid4().hex}.u16"
             with store.open_output_stream(f"{root}/{name}") as out:
-                out.write(ids.astype("<u2").tobytes())
-            done = pa.RecordBatch.from_pydict({"file": [name], "doc_ids": pa.array([list(doc_ids)], pa.list_(pa.int64())), "n_ids": pa.array([len(ids)], pa.int64())})
+                for ids in held:
+                    out.write(ids)
+            done = pa.RecordBatch.from_pydict({"file": [name], "doc_ids": pa.array([list(doc_ids)], pa.list_(pa.int64())), "n_ids": pa.array([sum(map(len, held))], pa.int64())})
             held.clear()
             doc_ids.clear()
             return done
@@ -59,7 +57,9 @@ def write_flat(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for at, to in slices(batch.column(1), min(TEXT_BYTES, file_bytes)):
                 ids, _ = encoder.encode(batch.column(1).slice(at, to - at), end_id)
-                held.append(ids)
+                if len(ids) and int(ids.max()) > 0xFFFF:
+                    raise ValueError("an id needs more than 16 bits")
+                held.append(ids.astype("<u2"))
                 doc_ids.extend(batch.column(0).slice(at, to - at).to_pylist())
                 if sum(map(len, held)) * 2 >= file_bytes:
                     yield flush()

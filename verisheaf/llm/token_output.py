@@ -1,7 +1,7 @@
 """Operator 2: token ids written in a binary format with an adaptive range coder, and read back.
 
 Documents are range-partitioned and sorted by id, so files in partition order hold ids in ascending document order. A
-file is Parquet whose rows are segments: whole documents of about 4 million ids, coded in blocks that stand alone (see
+file is Parquet whose rows are segments: whole documents of about 8 million ids, coded in blocks that stand alone (see
 range_coder). The Spark writer commits the files, so a lost executor leaves none half written.
 
 A segment is, in bytes: "VST1", then little-endian 32-bit numbers of documents and blocks; for each document its number
@@ -27,6 +27,8 @@ SEGMENT, END_ID = range_coder.BLOCK * range_coder.TOGETHER, 1
 MAGIC = b"VST1"
 #: Bytes of text tokenized at once.
 TEXT_BYTES = 1 << 23
+#: Words that a worker remembers.
+REMEMBERED = 1_500_000
 
 
 def pack_segment(lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -60,7 +62,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     tokenizer = tokenizer or default_tokenizer()
 
     def coded(batches):
-        encoder = encoder_for(tokenizer)
+        encoder = encoder_for(tokenizer, remembered=REMEMBERED)
         seq, start = 0, 0
         doc_ids: list = []
         lengths: list = []
@@ -70,12 +72,13 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         def row():
             nonlocal seq, start
             ids = np.concatenate(held)
+            held.clear()
             out = pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "start_in_part": pa.array([start], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()),
                 "doc_ids": pa.array([list(doc_ids)], pa.list_(pa.int64())), "segment": pa.array([pack_segment(np.array(lengths), ids)], pa.binary()),
             })
             seq, start = seq + 1, start + len(ids)
-            for x in (doc_ids, lengths, held):
+            for x in (doc_ids, lengths):
                 x.clear()
             return out
 

@@ -13,8 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words whose ids a worker remembers; beyond, it forgets all.
-REMEMBERED = 400_000
+from verisheaf.llm.common import row_hashes, text_buffer
+
+#: Words whose ids a worker remembers unless told otherwise (about 70 bytes each); beyond, it forgets those that the
+#: fewest calls had.
+REMEMBERED = 300_000
 #: Words that are encoded as one text.
 TOGETHER = 500
 
@@ -25,18 +28,69 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder_for(path: str, plain_specials: bool = False) -> WordEncoder:
+def encoder_for(path: str, plain_specials: bool = False, remembered: int = REMEMBERED) -> WordEncoder:
     """An encoder that a worker process keeps from task to task with the words it knows."""
     kept = sys.__dict__.setdefault("_verisheaf_encoders", {})
-    if (path, plain_specials) not in kept:
-        kept[path, plain_specials] = WordEncoder(path, plain_specials)
-    return kept[path, plain_specials]
+    key = (path, plain_specials, remembered)
+    if key not in kept:
+        kept[key] = WordEncoder(*key)
+    return kept[key]
+
+
+class _Words:
+    """Different words, found by hashes in an open table; what is found is compared with the word itself."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.large_string())
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.table = np.full(1 << 16, -1, dtype=np.int32)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    @staticmethod
+    def _hashes(words: pa.Array) -> np.ndarray:
+        raw, offsets = text_buffer(words)
+        return row_hashes(raw, offsets)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Places of words; -1: not here."""
+        hashes = self._hashes(words)
+        slot = (hashes & np.uint64(len(self.table) - 1)).astype(np.int64)
+        out = np.full(len(words), -1, dtype=np.int64)
+        left = np.arange(len(words))
+        while len(left):
+            place = self.table[slot]
+            left, slot, place = left[place >= 0], slot[place >= 0], place[place >= 0]
+            same = self.hashes[place] == hashes[left]
+            at = np.flatnonzero(same)
+            same[at] = np.asarray(pc.equal(self.words.take(pa.array(place[at])), words.take(pa.array(left[at]))))
+            out[left[same]] = place[same]
+            left, slot = left[~same], slot[~same] + 1 & len(self.table) - 1
+        return out
+
+    def add(self, words: pa.Array) -> None:
+        """Words that differ and are not here."""
+        first, hashes = len(self.words), self._hashes(words)
+        self.words = pa.concat_arrays([self.words, words])
+        self.hashes = np.concatenate([self.hashes, hashes])
+        if 2 * len(self.words) > len(self.table):
+            self.table = np.full(1 << (4 * len(self.words) - 1).bit_length(), -1, dtype=np.int32)
+            first, hashes = 0, self.hashes
+        place = np.arange(first, len(self.words), dtype=np.int32)
+        slot = (hashes & np.uint64(len(self.table) - 1)).astype(np.int64)
+        while len(place):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = place[free]
+            left = self.table[slot] != place  # taken before, or by another of these
+            place, slot = place[left], slot[left] + 1 & len(self.table) - 1
 
 
 class WordEncoder:
     """Encodes string columns. plain_specials: the strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, plain_specials: bool = False):
+    def __init__(self, path: str, plain_specials: bool = False, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,12 +114,29 @@ class WordEncoder:
         self.splits_signs = all(encode(a + b) == encode(a) + encode(b) for a, b in trials)
 
     def _forget(self) -> None:
-        self.known = pa.array([], pa.large_string())
+        self.known = _Words()
+        self.uses = np.zeros(0, dtype=np.int32)
         self.ends = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
+    def _forget_rare(self) -> None:
+        """Keeps words that at least two calls had, those with most uses, and no more than half."""
+        kept = np.argsort(-self.uses, kind="stable")[: self.remembered // 2]
+        kept = np.sort(kept[self.uses[kept] > 1])
+        words, uses = self.known.words.take(pa.array(kept)), self.uses[kept] >> 1
+        lengths, ids = self.ends[kept + 1] - self.ends[kept], self._ids_at(kept)
+        self._forget()
+        self._add(words, lengths, ids)
+        self.uses = uses
+
+    def _ids_at(self, places: np.ndarray) -> np.ndarray:
+        lengths = self.ends[places + 1] - self.ends[places]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        return self.ids[np.repeat(self.ends[places] - before[:-1], lengths) + np.arange(before[-1])]
+
     def _add(self, words: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> None:
-        self.known = pa.concat_arrays([self.known, words])
+        self.known.add(words)
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), dtype=np.int32)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
 
@@ -109,7 +180,7 @@ class WordEncoder:
 
     def _unknown(self, words: pa.Array) -> pa.Array:
         words = words.unique()
-        return words.filter(pc.is_null(pc.index_in(words, value_set=self.known)))
+        return words.filter(pa.array(self.known.find(words) < 0))
 
     def _learn(self, words: pa.Array) -> None:
         """Words of letters, of letters with other signs after them, and the rest. The second kind is put together from
@@ -122,14 +193,9 @@ class WordEncoder:
         stems, tails = pc.replace_substring_regex(both, r"[^\p{L}]+$", ""), pc.replace_substring_regex(both, r"^\p{L}+", "")
         self._learn_letters(self._unknown(pa.concat_arrays([words.filter(plain), stems])))
         self._learn_one_by_one(self._unknown(pa.concat_arrays([words.filter(pc.invert(pc.or_(plain, tailed))), tails])))
-        both = self._unknown(both)
-        if len(both):
-            stems, tails = pc.replace_substring_regex(both, r"[^\p{L}]+$", ""), pc.replace_substring_regex(both, r"^\p{L}+", "")
-            at = np.stack([np.asarray(pc.index_in(x, value_set=self.known)) for x in (stems, tails)], axis=1).reshape(-1).astype(np.int64)
-            lengths = self.ends[at + 1] - self.ends[at]
-            before = np.concatenate([[0], np.cumsum(lengths)])
-            ids = self.ids[np.repeat(self.ends[at] - before[:-1], lengths) + np.arange(before[-1])]
-            self._add(both, lengths.reshape(-1, 2).sum(axis=1), ids)
+        places = np.stack([self.known.find(x) for x in (stems, tails)], axis=1)
+        lengths = (self.ends[places + 1] - self.ends[places]).sum(axis=1)
+        self._add(both, lengths, self._ids_at(places.reshape(-1)))
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each row's followed by end_id, and the number of ids before each row. Nulls are empty."""
@@ -142,19 +208,22 @@ class WordEncoder:
         cuts = np.asarray(lists.offsets)
         cuts = cuts - cuts[0]
         different = words.dictionary.cast(pa.large_string())
-        number = pc.index_in(different, value_set=self.known)
-        if number.null_count:
-            new = different.filter(number.is_null())
-            if len(self.known) + len(new) > REMEMBERED:
-                self._forget()
-                new = different
+        number = self.known.find(different)
+        if (number < 0).any():
+            if len(self.known) + np.count_nonzero(number < 0) > self.remembered:
+                self._forget_rare()
+                number = self.known.find(different)
+            missing = number < 0
+            new = different.filter(pa.array(missing))
             self._learn(new)
-            number = pc.index_in(different, value_set=self.known)
-        number = np.asarray(number).astype(np.int64)
-        codes = number[np.asarray(words.indices)] if len(different) else np.zeros(0, dtype=np.int64)
-        lengths = np.insert(self.ends[codes + 1] - self.ends[codes], cuts[1:], 1)
-        starts = np.insert(self.ends[codes], cuts[1:], len(self.ids))
+            number[missing] = self.known.find(new)
+        self.uses[number] += 1
+        # From here on the different words of this call alone, after the end.
+        source = np.concatenate([np.array([end_id], dtype=np.uint32), self._ids_at(number)])
+        each = self.ends[number + 1] - self.ends[number]
+        codes = np.asarray(words.indices)
+        lengths, starts = (np.insert(x[codes], cuts[1:], end) for x, end in ((each, 1), (1 + np.cumsum(each) - each, 0)))
         before = np.concatenate([[0], np.cumsum(lengths)])
-        source = np.append(self.ids, np.uint32(end_id))
-        out = source[np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])]
-        return out, before[np.concatenate([[0], cuts[1:] + np.arange(1, rows + 1)])]
+        at = np.repeat(starts - before[:-1], lengths)
+        at += np.arange(before[-1])
+        return source[at], before[np.concatenate([[0], cuts[1:] + np.arange(1, rows + 1)])]
