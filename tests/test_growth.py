@@ -28,6 +28,11 @@ def test_reports_are_dealt_over_tasks(spark):
     assert reports(spark, SF).rdd.getNumPartitions() >= 8
 
 
+def test_cues_are_sought_in_a_text_that_is_lowered_once(spark):
+    df = spark.createDataFrame([("CK7 炎",)], "t string").select(T.cue_count(T.analysis_body(F.col("t"))).alias("n"))
+    assert df.first().n == 2 and plan(df).count("lower(") == 1
+
+
 def test_repeated_texts_are_worked_on_once(spark):
     df = spark.createDataFrame([("未见界面炎", "a 3个"), (None, None), ("未见界面炎", "a 3个")], "r string, p string").coalesce(1)
     one, none, two = df.select(K.entities_of("r").alias("e"), K.numbers_of("r", "p").alias("n")).collect()
