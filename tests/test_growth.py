@@ -28,6 +28,12 @@ def test_reports_are_dealt_over_tasks(spark):
     assert reports(spark, SF).rdd.getNumPartitions() >= 8
 
 
+def test_filters_on_reasons_repeat_no_rule(spark):
+    """A rule is made in one place of the plan, however many filters follow."""
+    for df in (quality_plans.reason_counts(spark, SF), Q.split_kept(Q.prepare(quality_plans._records(spark, SF)))[0]):
+        assert plan(df).count("missing_assistant_target") == 1
+
+
 def test_cues_are_sought_in_a_text_that_is_lowered_once(spark):
     df = spark.createDataFrame([("CK7 炎",)], "t string").select(T.cue_count(T.analysis_body(F.col("t"))).alias("n"))
     assert df.first().n == 2 and plan(df).count("lower(") == 1

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verisheaf.functions import lexicon as L
+from verisheaf.functions import kernels as K
 from verisheaf.functions import records as R
 from verisheaf.functions import text as T
 
@@ -24,27 +24,31 @@ def prepare(records: DataFrame, min_analysis_chars: int = 8, missing_files: str
     missing_files: a column that counts images without a file (see sources.listing)."""
     out = records.withColumn("target", R.first_content(F.col("messages"), "assistant")).withColumn("prompt", R.first_content(F.col("messages"), "user"))
     out = out.withColumn("pictures", F.coalesce("images", F.array().cast("array<string>")))
-    out = out.withColumn("cleaned", T.strip_position_headers(F.col("target"))).withColumn("diagnosis", T.diagnosis_line(F.col("cleaned")))
-    out = out.withColumn("body", T.analysis_body(F.col("cleaned"))).withColumn("canonical_target", T.compact_punctuation(F.col("cleaned")))
-    out = out.withColumn("headers", F.regexp_extract_all(F.col("target"), F.lit(rf"(?mU)^\s*({T.POSITION})\s*[：:]?\s*"), F.lit(1)))
-    labelled = F.col("cleaned").rlike(r"(?U)病理诊断\s*[：:]")
-    enough = lambda text, n: T.cjk_count(T.compact_punctuation(F.col(text))) < n
+    out = out.withColumn("__t", K.parts_of("target"))
+    part = lambda name: F.col(f"__t.{name}")
+    out = out.select("*", *[part(name).alias(name) for name in ("cleaned", "diagnosis", "body", "canonical_target")])
     rules = {
-        "missing_assistant_target": T.strip(F.col("target")) == "",
+        "missing_assistant_target": part("blank"),
         "no_images": F.size("pictures") == 0,
         "duplicate_image_path_within_case": F.size("pictures") != F.size(F.array_distinct("pictures")),
         "image_placeholder_count_mismatch": T.placeholder_count(F.col("prompt")) != F.size("pictures"),
         "missing_image_file": (F.col(missing_files) > 0) if missing_files else F.lit(False),
-        "repeated_position_header": F.size("headers") != F.size(F.array_distinct("headers")),
-        "position_header_count_exceeds_images": F.size("headers") > F.size("pictures"),
-        "missing_diagnosis_section": ~labelled,
-        "empty_diagnosis": labelled & (F.col("diagnosis") == ""),
-        "diagnosis_unavailable_placeholder": T.compact_punctuation(F.col("diagnosis")).isin(*L.PLACEHOLDERS),
-        "analysis_too_short": enough("body", min_analysis_chars),
-        "insufficient_pathology_content": T.cue_count(F.col("body")) < 2,
-        "target_too_short": enough("cleaned", min_analysis_chars + 8),
+        "repeated_position_header": F.size(part("headers")) != F.size(F.array_distinct(part("headers"))),
+        "position_header_count_exceeds_images": F.size(part("headers")) > F.size("pictures"),
+        "missing_diagnosis_section": ~part("labelled"),
+        "empty_diagnosis": part("labelled") & (F.col("diagnosis") == ""),
+        "diagnosis_unavailable_placeholder": part("unavailable"),
+        "analysis_too_short": part("body_chars") < min_analysis_chars,
+        "insufficient_pathology_content": part("cues") < 2,
+        "target_too_short": part("target_chars") < min_analysis_chars + 8,
     }
-    return out.withColumn("reasons", reasons_of(rules)).drop("prompt", "pictures", "headers")
+    return listed_once(out, "reasons", reasons_of(rules)).drop("prompt", "pictures", "__t")
+
+
+def listed_once(rows: DataFrame, name: str, reasons: Column) -> DataFrame:
+    """rows with a column of reasons that is made once a row. It comes out of a generator, since a filter on a plain
+    column is moved below it and takes copies of all expressions it is made of along, one for each mention."""
+    return rows.select("*", F.explode(F.array(reasons)).alias(name))
 
 
 def split_kept(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
