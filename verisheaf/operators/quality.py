@@ -132,9 +132,10 @@ def remove_shared(train: DataFrame, test: DataFrame, key: str) -> tuple[DataFram
 
 
 def clean_split(prepared: DataFrame, key: str = "canonical_target", order: str = "record_index") -> DataFrame:
-    """Rows that pass the rules and come first of their target, with clean_index in order."""
-    kept = split_kept(prepared)[0].persist(StorageLevel.DISK_ONLY)  # read more than once below
-    first = keep_first(kept, key, order).where("keep").drop("keep", "duplicate_of")
+    """Rows that pass the rules and come first of their target, with clean_index in order. A row crosses the network once
+    at most, by the digest of its key; all columns given go along."""
+    kept = split_kept(prepared)[0]
+    first = kept.groupBy(F.sha2(F.col(key), 256).alias("__key")).agg(F.min_by(F.struct(*kept.columns), order).alias("__row")).select("__row.*")
     return dense_ordinal(first, order, "clean_index")
 
 
