@@ -39,6 +39,23 @@ def test_cues_are_sought_in_a_text_that_is_lowered_once(spark):
     assert df.first().n == 2 and plan(df).count("lower(") == 1
 
 
+def test_two_keys_in_rounds(spark, monkeypatch):
+    """Rounds alone, rounds with a rest, and a chain that rounds don't shorten, against a plain fold. Keys may be null."""
+    random.seed(3)
+    dense = [(random.randrange(900), random.choice([None, *range(40)]), random.choice([None, *"abcdefghij"])) for _ in range(1200)]
+    chain = [(i, (i + 1) // 2, str(i // 2)) for i in range(300)]
+    for rows, most in ((dense, 0), (dense, 50), (chain, 0), (chain, 1000)):
+        monkeypatch.setattr(Q, "FOLD_ROWS", most)
+        seen, want = (set(), set()), []
+        for at, a, b in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2] is None, r[2] or "")):
+            want.append((at, a, b, a not in seen[0] and b not in seen[1]))
+            if want[-1][-1]:
+                seen[0].add(a)
+                seen[1].add(b)
+        df = spark.createDataFrame(rows, "at long, a long, b string").repartition(5)
+        assert sorted(map(repr, (tuple(r) for r in Q.keep_first_of_two(df, "at", "a", "b").collect()))) == sorted(map(repr, want))
+
+
 def test_repeated_texts_are_worked_on_once(spark):
     df = spark.createDataFrame([("未见界面炎", "a 3个"), (None, None), ("未见界面炎", "a 3个")], "r string, p string").coalesce(1)
     one, none, two = df.select(K.entities_of("r").alias("e"), K.numbers_of("r", "p").alias("n")).collect()

@@ -70,39 +70,68 @@ def repeats_itself(values: Column) -> Column:
     return F.size(F.array_distinct(values)) != F.size(values)
 
 
+#: Rows that one task may fold alone.
+FOLD_ROWS = 200_000
+
+
 def keep_first_of_two(rows: DataFrame, order: str, a: str, b: str) -> DataFrame:
     """DD3: in order, a row is kept if neither of its keys was kept before; a rejected row reserves neither. Adds keep.
 
-    Whether a row is kept depends on earlier ones through shared keys, so the fold runs inside connected groups of rows;
-    rows of which both keys are unique are kept outright. Groups come from min-label steps, so no task sees rows that it
-    needn't. A null key is a key like any other; rows that tie in order go by their keys.
+    A row that comes first of both its keys is kept whatever the others are, and rows that share a key with it are
+    rejected; what is left is judged so again. Rounds work on numbers and keys alone, in aggregations and anti joins, so no
+    task holds a key's rows. The last rows, FOLD_ROWS at most, are folded in one task. Should a round settle less than a
+    twentieth, as in long chains of rows that wait for each other, the rest is folded in connected groups. A null key is
+    a key like any other; rows that tie in order go by their keys.
     """
+    from verisheaf.operators.graph import ensure_checkpoints
+
+    ensure_checkpoints(rows.sparkSession)
+    base = rows.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
+    sort = [F.asc_nulls_last(c) for c in ("__order", "__a", "__b")]
+    keys = base.select("__row", F.col(order).alias("__order"), F.col(a).alias("__a"), F.col(b).alias("__b"))
+    # Ranges follow one another, so the numbers of rows sorted inside them are in order over all.
+    placed = keys.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("__at", F.monotonically_increasing_id()).drop("__order").checkpoint()
+    left = placed.select("__at", "__a", "__b")
+    n, kept = left.count(), []
+    while n > FOLD_ROWS:
+        first = lambda k: left.groupBy(k).agg(F.min("__at").alias("__at"))  # noqa: B023, E731
+        won = first("__a").join(first("__b"), "__at").checkpoint()
+        kept.append(won.select("__at"))
+        for k in ("__a", "__b"):
+            left = left.join(won.select(F.col(k).alias("__won")), F.col(k).eqNullSafe(F.col("__won")), "left_anti")
+        left = left.checkpoint()
+        before, n = n, left.count()
+        if n > FOLD_ROWS and before - n < before / 20:
+            break
+    if n:
+        kept.append(_folded(left, n <= FOLD_ROWS))
+    won = reduce(DataFrame.unionByName, kept) if kept else placed.select("__at").limit(0)
+    won = placed.join(won, "__at", "left_semi").select("__row", F.lit(True).alias("keep"))
+    return base.join(won, "__row", "left").select(*rows.columns, F.coalesce("keep", F.lit(False)).alias("keep"))
+
+
+def _folded(left: DataFrame, few: bool) -> DataFrame:
+    """__at of the rows that a fold over (__at, __a, __b) keeps, in one group or in connected ones."""
     from verisheaf.operators.graph import connected
 
-    marked = rows
-    for k, n in ((a, "__rows_a"), (b, "__rows_b")):
-        counts = rows.groupBy(F.col(k).alias("__value")).agg(F.count(F.lit(1)).alias(n))
-        marked = marked.join(counts, F.col(k).eqNullSafe(F.col("__value"))).drop("__value")
-    single = marked.where((F.col("__rows_a") == 1) & (F.col("__rows_b") == 1)).select(*rows.columns, F.lit(True).alias("keep"))
-    shared = marked.where((F.col("__rows_a") > 1) | (F.col("__rows_b") > 1)).select(*rows.columns)
-    node = lambda side, k: F.coalesce(F.concat(F.lit(side + ":"), F.col(k).cast("string")), F.lit(side))
-    links = shared.select(node("a", a).alias("x"), node("b", b).alias("y"))
-    groups = connected(links, "x", "y")
-    placed = shared.join(groups.select(F.col("node").alias("__node"), F.col("component").alias("__group")), node("a", a) == F.col("__node")).drop("__node")
+    node = lambda k: F.coalesce(F.concat(F.lit(k + ":"), F.col(k).cast("string")), F.lit(k))
+    if few:
+        placed = left.withColumn("__group", F.lit("all"))
+    else:
+        groups = connected(left.select(node("__a").alias("x"), node("__b").alias("y")), "x", "y")
+        placed = left.join(groups.select(F.col("node").alias("__node"), F.col("component").alias("__group")), node("__a") == F.col("__node")).drop("__node")
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         seen_a, seen_b, keep = set(), set(), []
-        frame = frame.sort_values([order, a, b], kind="stable")
-        for x, y in zip(frame[a], frame[b], strict=True):
-            ok = x not in seen_a and y not in seen_b
-            if ok:
+        frame = frame.sort_values("__at")
+        for at, x, y in zip(frame["__at"], frame["x"], frame["y"], strict=True):
+            if x not in seen_a and y not in seen_b:
                 seen_a.add(x)
                 seen_b.add(y)
-            keep.append(ok)
-        return frame.drop(columns="__group").assign(keep=keep)
+                keep.append(at)
+        return pd.DataFrame({"__at": keep})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", keep boolean"
-    return single.unionByName(placed.groupBy("__group").applyInPandas(fold, schema))
+    return placed.select("__group", "__at", node("__a").alias("x"), node("__b").alias("y")).groupBy("__group").applyInPandas(fold, "__at long")
 
 
 def message_issues(records: DataFrame) -> DataFrame:
