@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from verisheaf.functions import lexicon as L
+from verisheaf.functions.text import let
 
 RECORD = "record_index long, case_id string, synthetic boolean, images array<string>, messages array<struct<role:string,content:string>>"
 
@@ -55,11 +56,11 @@ def case_key(path: Column) -> Column:
 
 def image_position(path: Column) -> Column:
     """PR9: the one position named in a file name; specific names win over general ones."""
-    name = F.element_at(F.split(path, "/"), -1)
-    named = F.filter(F.array(*map(F.lit, L.POSITIONS["views"])), lambda p: F.contains(name, p))
-    special = F.filter(named, lambda p: ~p.isin("上图", "下图"))
-    hits = F.when(F.size(special) > 0, special).otherwise(named)
-    return F.when(F.size(hits) == 1, hits[0])
+    names = F.array(*map(F.lit, L.POSITIONS["views"]))
+    special = lambda named: F.filter(named, lambda p: ~p.isin("上图", "下图"))
+    best = lambda named: let(special(named), lambda x: F.when(F.size(x) > 0, x).otherwise(named))
+    hits = let(F.element_at(F.split(path, "/"), -1), lambda name: let(F.filter(names, lambda p: F.contains(name, p)), best))
+    return let(hits, lambda x: F.when(F.size(x) == 1, F.get(x, F.lit(0))))
 
 
 def preview(text: Column, n: int = 500) -> Column:

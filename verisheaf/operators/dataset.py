@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verisheaf.functions import records as R
 from verisheaf.functions import text as T
-from verisheaf.operators.quality import dense_ordinal, keep_first_of_two, reasons_of
+from verisheaf.operators.quality import dense_ordinal, keep_first_of_two, listed_once, reasons_of
 
 
 def case_views(records: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def case_views(records: DataFrame) -> DataFrame:
         "image_section_labels_not_exact_match": F.array_sort(F.array_distinct(named)) != F.array_sort(F.transform("sections", lambda s: s["label"])),
     }
     reasons = F.array_sort(F.array_union("__v.reasons", reasons_of(rules)))
-    return out.withColumn("case_reasons", reasons).drop("__v")
+    return listed_once(out, "case_reasons", reasons).drop("__v")
 
 
 def one_to_one(records: DataFrame, min_chars: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -34,7 +34,7 @@ def one_to_one(records: DataFrame, min_chars: int = 8) -> tuple[DataFrame, DataF
     text = F.filter("sections", lambda s: s["label"] == F.col("v.position"))[0]["content"]
     views = views.select("record_index", "place", F.col("v.image").alias("image"), F.col("v.position").alias("source_position"), T.normalize_lines(text).alias("analysis"), T.diagnosis_line(F.col("target")).alias("diagnosis"))
     views = views.withColumn("answer", F.concat(F.lit("图像分析："), F.col("analysis"))).withColumn("analysis_chars", T.cjk_count(F.col("analysis"))).withColumn("key", T.canonical_target(F.col("answer")))
-    views = views.withColumn("reasons", reasons_of({"single_view_analysis_too_short": F.col("analysis_chars") < min_chars, "position_token_remains_in_target": F.col("answer").rlike(T.VIEW_POSITION)}))
+    views = listed_once(views, "reasons", reasons_of({"single_view_analysis_too_short": F.col("analysis_chars") < min_chars, "position_token_remains_in_target": F.col("answer").rlike(T.VIEW_POSITION)}))
     views = views.withColumn("at", F.col("record_index") * 1_000_000 + F.col("place"))
     fine = keep_first_of_two(views.where(F.size("reasons") == 0), "at", "image", "key")
     repeated = fine.where("not keep").select("record_index", "image", F.array(F.lit("duplicate_image_or_target")).alias("reasons"))
