@@ -56,6 +56,25 @@ def test_two_keys_in_rounds(spark, monkeypatch):
         assert sorted(map(repr, (tuple(r) for r in Q.keep_first_of_two(df, "at", "a", "b").collect()))) == sorted(map(repr, want))
 
 
+def test_long_arrays_have_their_subsequence(spark):
+    """By bits of a number, as by the table."""
+    random.seed(4)
+    rows = [([random.choice("abcd") for _ in range(random.randrange(150))], [random.choice("abce") for _ in range(random.randrange(150))]) for _ in range(60)] + [(["x"] * 3000, ["x", "y"] * 2000), ([], ["a"]), (None, ["a"])]
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    got = [r.n for r in spark.createDataFrame(rows, "a array<string>, b array<string>").coalesce(1).select(P.lcs_length("a", "b").alias("n")).collect()]
+    assert got == [table(a or [], b) for a, b in rows[:60]] + [2000, 0, 0]
+    a, b = "汇管区炎 3.5 期", "汇管区 3.5 炎"
+    assert K.lcs_of_texts(a, b)["token_lcs"] == table(K.tokens(a), K.tokens(b))
+
+
 def test_repeated_texts_are_worked_on_once(spark):
     df = spark.createDataFrame([("未见界面炎", "a 3个"), (None, None), ("未见界面炎", "a 3个")], "r string, p string").coalesce(1)
     one, none, two = df.select(K.entities_of("r").alias("e"), K.numbers_of("r", "p").alias("n")).collect()

@@ -24,7 +24,7 @@ def per_case(predictions: DataFrame, key: str = "case_index", strip_positions: b
     base = base.withColumn("ref_tokens", T.tokens(F.col("reference"), strip_positions)).withColumn("pred_tokens", T.tokens(F.col("prediction"), strip_positions))
     base = base.withColumn("ref_chars", T.char_tokens(F.col("reference"))).withColumn("pred_chars", T.char_tokens(F.col("prediction")))
     base = base.withColumn("re", X.entities(F.col("reference"))).withColumn("pe", X.entities(F.col("prediction")))
-    base = base.withColumn("rn", X.numeric_claims(F.col("reference"))).withColumn("pn", X.numeric_claims(F.col("prediction"))).persist()
+    base = base.withColumn("numbers", X.compare_numbers(F.col("reference"), F.col("prediction"))).persist()
     r, p = F.col("reference"), F.col("prediction")
     row = base.select(
         "pair_id",
@@ -33,7 +33,7 @@ def per_case(predictions: DataFrame, key: str = "case_index", strip_positions: b
         P.set_prf(T.diagnosis_concepts(r), T.diagnosis_concepts(p)).alias("concepts"), P.set_prf(X.facts(F.col("re"), r), X.facts(F.col("pe"), p)).alias("facts"),
         P.set_prf(X.key_facts(F.col("re"), r), X.key_facts(F.col("pe"), p)).alias("key_facts"), P.set_prf(X.entity_names(F.col("re")), X.entity_names(F.col("pe"))).alias("entities"),
         P.set_prf(X.relations(F.col("re")), X.relations(F.col("pe"))).alias("relations"), P.contradictions(F.col("re"), F.col("pe")).alias("contradiction"), P.severity_agreement(F.col("re"), F.col("pe")).alias("severity"),
-        P.compare_numbers(F.col("rn"), F.col("pn")).alias("numbers"), T.stage(r).alias("ref_stage"), T.stage(p).alias("pred_stage"), P.label_coverage(T.image_labels(r), T.image_labels(p)).alias("label_coverage"),
+        F.col("numbers"), T.stage(r).alias("ref_stage"), T.stage(p).alias("pred_stage"), P.label_coverage(T.image_labels(r), T.image_labels(p)).alias("label_coverage"),
         T.has_diagnosis_section(p).cast("double").alias("has_diagnosis"), P.length_ratio(T.compact(r), T.compact(p)).alias("length_ratio"), (T.canonical_diagnosis(r) == "__MISSING__").alias("no_reference_diagnosis"),
         T.canonical_diagnosis(r).isin("未找到").alias("placeholder_diagnosis"),
     )

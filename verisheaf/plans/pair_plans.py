@@ -128,8 +128,8 @@ SELECT pair_id AS report_id, {S.prf_sql('hits', 'total', 'ref')} FROM o"""
 
 def lcs_short(spark, sf):
     """MT5, MT6 and MT7 over whole texts of generated reports."""
-    out = reports(spark, sf).select("report_id", T.tokens(F.col("reference")).alias("r"), T.tokens(F.col("prediction")).alias("p"), P.rouge_l_capped(F.col("reference"), F.col("prediction")).alias("capped_f1"))
-    return _rounded(out.select("report_id", "capped_f1", P.rouge_l(F.col("r"), F.col("p")).alias("m")).select("report_id", "capped_f1", "m.*"), "report_id")
+    out = reports(spark, sf).select("report_id", P.rouge_l_of_texts(F.col("reference"), F.col("prediction")).alias("x"))
+    return _rounded(out.select("report_id", "x.capped_f1", "x.m.*"), "report_id")
 
 
 def rouge_l_turns(spark, sf):
@@ -210,8 +210,8 @@ SELECT relation, count(*) AS n FROM r GROUP BY relation"""
 
 def numbers(spark, sf):
     """EX7 and MT17."""
-    out = reports(spark, sf).select("report_id", X.numeric_claims(F.col("reference")).alias("r"), X.numeric_claims(F.col("prediction")).alias("p"))
-    return out.select("report_id", P.compare_numbers(F.col("r"), F.col("p")).alias("m")).select("report_id", *[f"m.{c}" for c in ("reference_count", "prediction_count", "matched_count", "exact_count", "within5_count", "within10_count", "unsupported_count", "omitted_count")])
+    out = reports(spark, sf).select("report_id", X.compare_numbers(F.col("reference"), F.col("prediction")).alias("m"))
+    return out.select("report_id", *[f"m.{c}" for c in ("reference_count", "prediction_count", "matched_count", "exact_count", "within5_count", "within10_count", "unsupported_count", "omitted_count")])
 
 
 def other_views(spark, sf):
