@@ -83,3 +83,13 @@ def test_repeated_texts_are_worked_on_once(spark):
     made = []
     run = K.by_text(lambda a, b: made.append(a) or a + b, StringType()).func
     assert run(pa.array(["x", "y", "x", "x"]), pa.array(["1", "1", None, "1"])).to_pylist() == ["x1", "y1", "x", "x1"] and len(made) == 3
+
+
+def test_grams_travel_as_digests(spark):
+    """One row for each gram of a pair, of fixed size."""
+    pairs = spark.createDataFrame([(1, ["a", "b", "a", "b"], ["a", "b", "c"]), (2, ["ab"], []), (3, None, ["b", "a"])], "pair_id long, ref_tokens array<string>, pred_tokens array<string>").coalesce(1)
+    rows = N.gram_digests(pairs).collect()
+    got = sorted((r.pair_id, r.n, r.ref_count, r.pred_count) for r in rows)
+    assert got == sorted([(1, 1, 2, 1), (1, 1, 2, 1), (1, 1, 0, 1), (1, 2, 2, 1), (1, 2, 1, 0), (1, 2, 0, 1), (1, 3, 1, 0), (1, 3, 1, 0), (1, 3, 0, 1), (1, 4, 1, 0), (2, 1, 1, 0), (3, 1, 0, 1), (3, 1, 0, 1), (3, 2, 0, 1)])
+    assert len({(r.a, r.b) for r in rows}) == 11
+    assert "\u0001" not in plan(N.cider_lite(tokenized(turn_pairs(spark, SF))))

@@ -1,12 +1,13 @@
 """The n-gram family. Both sides of a pair are in one row, so grams are counted and clipped there, over Arrow batches,
 and nothing is shuffled; only document frequencies need a table of grams.
 
-Input: pair_id, ref_tokens, pred_tokens (arrays; null counts as empty). Tables of grams: pair_id, n, gram, ref_count,
-pred_count.
+Input: pair_id, ref_tokens, pred_tokens (arrays; null counts as empty).
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,14 +22,10 @@ def grams(tokens: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(tokens, i + 1, n), "\u0001"))
 
 
-def gram_table(pairs: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4), columns: tuple[str, str] = ("ref_tokens", "pred_tokens")) -> DataFrame:
-    sides = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), grams(F.col(column), n).alias("grams")) for n in orders for side, column in enumerate(columns)])
-    each = pairs.select("pair_id", F.explode(sides).alias("s")).select("pair_id", "s.n", "s.side", F.explode("s.grams").alias("gram"))
-    return each.groupBy("pair_id", "n", "gram").agg(F.sum(1 - F.col("side")).alias("ref_count"), F.sum("side").alias("pred_count"))
-
-
 #: Tokens of both sides that are counted at once, unless one pair has more.
 SLICE_TOKENS = 1 << 20
+#: Odd numbers that the digest of a gram is multiplied by before the next token's is added.
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 def _codes(keys: np.ndarray) -> np.ndarray:
@@ -168,17 +165,63 @@ def chrf(pairs: DataFrame, orders: int = 6, beta: float = 3.0) -> DataFrame:
     return sums.select("pair_id", F.when(F.size(scores) > 0, mean).otherwise(0.0).alias("chrf"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit numbers spread over the whole word."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_digests(pairs: DataFrame, orders: int = 4, columns: tuple[str, str] = ("ref_tokens", "pred_tokens")) -> DataFrame:
+    """pair_id, n, a and b (a digest of 128 bits), ref_count, pred_count: a row for each gram of a pair, counted in the
+    pair's row, so neither grams nor single occurrences cross the network."""
+
+    def run(batches):
+        for batch in batches:
+            sides = [batch.column(k).fill_null([]) if batch.column(k).null_count else batch.column(k) for k in (1, 2)]
+            lengths = [np.asarray(side.value_lengths(), dtype=np.int64) for side in sides]
+            total, at = np.cumsum(sum(lengths)), 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_TOKENS, side="right")))
+                yield from counted(batch.column(0).slice(at, to - at), [side.slice(at, to - at).flatten() for side in sides], [x[at:to] for x in lengths])
+                at = to
+
+    def counted(pair_ids, sides, lengths):
+        coded = pa.concat_arrays(sides).dictionary_encode(null_encoding="encode")
+        tokens, rows = np.asarray(coded.indices, dtype=np.int64), len(pair_ids)
+        if not len(tokens):
+            return
+        words = np.frombuffer(b"".join(md5(b"" if w is None else b"=" + w.encode()).digest() for w in coded.dictionary.to_pylist()), dtype=np.uint64).reshape(-1, 2)[tokens]
+        kinds, split, both = int(tokens.max()) + 1, len(sides[0]), np.concatenate(lengths)
+        row, end = np.repeat(np.concatenate([np.arange(rows)] * 2), both), np.repeat(np.cumsum(both), both)
+        at, ids, hashes = np.arange(len(tokens)), row, np.zeros((len(tokens), 2), dtype=np.uint64)
+        for n in range(1, orders + 1):
+            fits = at + n <= end[at]
+            at, ids, hashes = at[fits], ids[fits], hashes[fits]
+            hashes = hashes * MULTIPLIERS + words[at + n - 1]
+            _, first, ids = np.unique(ids * kinds + tokens[at + n - 1], return_index=True, return_inverse=True)
+            ids, of_ref = ids.reshape(-1), at < split
+            counts = [pa.array(np.bincount(ids[side], minlength=len(first)), pa.int32()) for side in (of_ref, ~of_ref)]
+            digests = [pa.array(_mixed(hashes[first, k] + np.uint64(n)).view(np.int64)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pair_ids.take(pa.array(row[at[first]])), pa.array(np.full(len(first), n), pa.int32()), *digests, *counts], ["pair_id", "n", "a", "b", "ref_count", "pred_count"])
+
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    return pairs.select("pair_id", *columns).mapInArrow(run, f"pair_id {kind}, n int, a bigint, b bigint, ref_count int, pred_count int")
+
+
 def cider_lite(pairs: DataFrame) -> DataFrame:
     """MT13: pair_id and ten times the mean over n of the cosine of TF-IDF vectors; document frequencies from the
-    references. The corpus score is the mean."""
-    table = gram_table(pairs)
-    df = table.where("ref_count > 0").groupBy("n", "gram").agg(F.count(F.lit(1)).alias("df"))
+    references. The corpus score is the mean. Grams go to their frequencies as digests and come back as one row of sums a
+    pair and task."""
+    table = gram_digests(pairs)
+    df = table.where("ref_count > 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("df"))
     n_docs = pairs.count()
     idf = F.log(F.lit(n_docs + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    seen = table.join(df, ["n", "gram"], "left").withColumn("idf", idf)
-    a, b = F.col("ref_count") * F.col("idf"), F.col("pred_count") * F.col("idf")
-    sums = seen.groupBy("pair_id", "n").agg(F.sum(a * b).alias("dot"), F.sqrt(F.sum(a * a)).alias("ra"), F.sqrt(F.sum(b * b)).alias("rb"))
-    by = sums.groupBy("pair_id").agg((F.sum(F.coalesce(F.try_divide(F.col("dot"), F.col("ra") * F.col("rb")), F.lit(0.0))) * 2.5).alias("cider"))
+    seen = table.join(df, ["a", "b"], "left").select("pair_id", "n", (F.col("ref_count") * idf).alias("r"), (F.col("pred_count") * idf).alias("p"))
+    r, p = F.col("r"), F.col("p")
+    sums = [F.sum(F.when(F.col("n") == n, x)).alias(f"{name}{n}") for n in (1, 2, 3, 4) for x, name in ((r * p, "dot"), (r * r, "rr"), (p * p, "pp"))]
+    cosine = lambda n: F.coalesce(F.try_divide(F.col(f"dot{n}"), F.sqrt(f"rr{n}") * F.sqrt(f"pp{n}")), F.lit(0.0))
+    by = seen.groupBy("pair_id").agg(*sums).select("pair_id", (sum((cosine(n) for n in (1, 2, 3, 4)), F.lit(0.0)) * 2.5).alias("cider"))
     return pairs.select("pair_id").join(by, "pair_id", "left").fillna(0.0, ["cider"])
 
 
