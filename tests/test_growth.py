@@ -93,3 +93,11 @@ def test_grams_travel_as_digests(spark):
     assert got == sorted([(1, 1, 2, 1), (1, 1, 2, 1), (1, 1, 0, 1), (1, 2, 2, 1), (1, 2, 1, 0), (1, 2, 0, 1), (1, 3, 1, 0), (1, 3, 1, 0), (1, 3, 0, 1), (1, 4, 1, 0), (2, 1, 1, 0), (3, 1, 0, 1), (3, 1, 0, 1), (3, 2, 0, 1)])
     assert len({(r.a, r.b) for r in rows}) == 11
     assert "\u0001" not in plan(N.cider_lite(tokenized(turn_pairs(spark, SF))))
+
+
+def test_draws_are_dealt_over_tasks(spark, monkeypatch):
+    values = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    want = A.bootstrap_means(values, "v", "k", 40, 5).collect()
+    monkeypatch.setattr(A, "DRAWS", 1000)
+    df = A.bootstrap_means(values, "v", "k", 40, 5)
+    assert df.collect() == want and "RepartitionByExpression [place" in plan(df) and re.search(r"RepartitionByExpression \[place#\d+L\], 20\b", plan(df))

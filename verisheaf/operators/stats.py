@@ -93,6 +93,10 @@ def hashed_pick(seed: int, sample: Column, place: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
 
 
+#: Draws of one task.
+DRAWS = 1_000_000
+
+
 def bootstrap_means(values: DataFrame, value: str, ordinal: str, samples: int, seed: int, paired: bool = False) -> DataFrame:
     """AG20, AG22: n, mean, ci95_low, ci95_high (and ci_excludes_zero) of a column numbered from 0. Every sample draws n
     places with replacement. paired: the interval of differences, whose ends are picked by another convention.
@@ -103,8 +107,12 @@ def bootstrap_means(values: DataFrame, value: str, ordinal: str, samples: int, s
     n = v.count()
     if not n:
         return v.sparkSession.createDataFrame([], "n long, mean double, ci95_low double, ci95_high double, ci_excludes_zero boolean")
-    draws = v.select(F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"), "place")
-    picked = draws.select("sample", hashed_pick(seed, F.col("sample"), F.col("place"), F.lit(n)).alias("place")).groupBy("sample", "place").agg(F.count(F.lit(1)).alias("times"))
+    # Tasks grow in number with the draws, so that neither the drawing nor the counting of one takes more than DRAWS.
+    tasks = -(-n * samples // DRAWS)
+    draws = v.repartition(tasks, "place").select(F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"), "place")
+    drawn = draws.select("sample", hashed_pick(seed, F.col("sample"), F.col("place"), F.lit(n)).alias("place")).repartition(tasks, "place")
+    picked = drawn.groupBy("sample", "place").agg(F.count(F.lit(1)).alias("times"))
+    v = v.repartition(tasks, "place")
     means = picked.join(v, "place").groupBy("sample").agg((F.sum(F.col("times") * F.col("v")) / n).alias("m"))
     low, high = (int(0.025 * (samples - 1)), int(0.975 * (samples - 1))) if paired else (max(0, int(0.025 * samples) - 1), min(samples - 1, int(0.975 * samples)))
     ends = means.agg(F.sort_array(F.collect_list("m")).alias("all")).select(F.col("all")[low].alias("ci95_low"), F.col("all")[high].alias("ci95_high"))
