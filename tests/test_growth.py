@@ -1,5 +1,6 @@
 """What keeps queries within their tasks when tables grow: rows dealt over tasks, expressions made once, folds in rounds."""
 
+import hashlib
 import random
 import re
 
@@ -13,8 +14,9 @@ from verisheaf.functions import text as T
 from verisheaf.operators import ngrams as N
 from verisheaf.operators import quality as Q
 from verisheaf.operators import stats as A
-from verisheaf.plans import quality_plans
+from verisheaf.plans import io_plans, quality_plans
 from verisheaf.plans.tables import reports, tokenized, turn_pairs
+from verisheaf.sources import io
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,3 +103,22 @@ def test_draws_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(A, "DRAWS", 1000)
     df = A.bootstrap_means(values, "v", "k", 40, 5)
     assert df.collect() == want and "RepartitionByExpression [place" in plan(df) and re.search(r"RepartitionByExpression \[place#\d+L\], 20\b", plan(df))
+
+
+def test_files_larger_than_a_row(spark, tmp_path):
+    """A sparse file of 2 GiB and a byte: its head is read alone, its digest in blocks."""
+    with open(tmp_path / "big one.png", "wb") as f:
+        f.write(bytes.fromhex(io.MAGIC["png"]))
+        f.truncate((1 << 31) + 1)
+    (tmp_path / "small").write_bytes(b"abc")
+    with open(tmp_path / "big one.png", "rb") as f:
+        want = hashlib.file_digest(f, "sha256").hexdigest()
+    assert {(r.size, r.sha256) for r in io_plans.hashes(spark, str(tmp_path)).collect()} == {((1 << 31) + 1, want), (3, hashlib.sha256(b"abc").hexdigest())}
+    assert {(r.kind, r.n) for r in io_plans.kinds(spark, str(tmp_path)).collect()} == {("png", 1), (None, 1)}
+
+
+def test_grams_of_cases_are_counted_once_for_rouge_and_bleu(spark):
+    pairs = tokenized(turn_pairs(spark, SF))
+    got = {r.pair_id: r for r in N.rouge_and_bleu(pairs).collect()}
+    assert {i: r.bleu4 for i, r in got.items()} == {r.pair_id: r.bleu4 for r in N.sentence_bleu(pairs).collect()}
+    assert {(i, n): r[f"rouge{n}_f1"] for i, r in got.items() for n in (1, 2)} == {(r.pair_id, r.n): r.f1 for r in N.rouge_n(pairs).collect()}

@@ -128,14 +128,25 @@ def meteor_exact(pairs: DataFrame) -> DataFrame:
     return sums.select("pair_id", score.alias("meteor_exact"))
 
 
-def sentence_bleu(pairs: DataFrame) -> DataFrame:
-    """MT10: BLEU-4 with 0.1 in place of a numerator of 0 (and 1 in place of a total of 0); 0 without a shared word."""
+def _bleu4() -> Column:
+    """BLEU-4 over columns of clipped."""
     log = lambda n: F.log(F.when(F.col("hits")[n] > 0, F.col("hits")[n]).otherwise(0.1) / F.greatest(F.col("predicted")[n], F.lit(1)))
     mean = F.exp((log(0) + log(1) + log(2) + log(3)) / 4)
     # As many 1-grams as tokens.
     n_ref, n_pred = F.col("reference")[0], F.col("predicted")[0]
     short = F.when(n_pred > n_ref, 1.0).otherwise(F.exp(1 - F.try_divide(n_ref, n_pred)))
-    return clipped(pairs).select("pair_id", F.when((n_pred == 0) | (F.col("hits")[0] == 0), 0.0).otherwise(short * mean).alias("bleu4"))
+    return F.when((n_pred == 0) | (F.col("hits")[0] == 0), 0.0).otherwise(short * mean)
+
+
+def sentence_bleu(pairs: DataFrame) -> DataFrame:
+    """MT10: BLEU-4 with 0.1 in place of a numerator of 0 (and 1 in place of a total of 0); 0 without a shared word."""
+    return clipped(pairs).select("pair_id", _bleu4().alias("bleu4"))
+
+
+def rouge_and_bleu(pairs: DataFrame) -> DataFrame:
+    """MT4 of 1 and 2 and MT10 in one row from one count of a pair's grams: pair_id, bleu4, rouge1_precision, ..."""
+    scores = {n: prf(F.col("hits")[n - 1], F.col("predicted")[n - 1], F.col("reference")[n - 1]).alias(f"rouge{n}") for n in (1, 2)}
+    return clipped(pairs).select("pair_id", _bleu4().alias("bleu4"), *scores.values()).select("pair_id", "bleu4", *[F.col(f"rouge{n}.{m}").alias(f"rouge{n}_{m}") for n in scores for m in ("precision", "recall", "f1")])
 
 
 def corpus_bleu(pairs: DataFrame) -> DataFrame:

@@ -40,10 +40,7 @@ def per_case(predictions: DataFrame, key: str = "case_index", strip_positions: b
     wide = row.select("*", *[F.col(f"{c}.{m}").alias(f"{c}_{m}") for c in ("rougeL", "char_rougeL", "terms", "concepts", "facts", "key_facts", "entities", "relations") for m in ("precision", "recall", "f1")])
     wide = wide.withColumn("discordance", F.coalesce(F.try_divide("contradiction.contradictions", "contradiction.compared"), F.lit(0.0))).withColumn("hallucination", 1 - F.col("facts_precision"))
     wide = wide.withColumn("quality", P.quality_score(F.col("facts_recall"), F.col("key_facts_recall"), F.col("hallucination"), F.col("discordance")))
-    for table in (
-        N.rouge_n(base).groupBy("pair_id").pivot("n", [1, 2]).agg(F.first("precision").alias("p"), F.first("recall").alias("r"), F.first("f1").alias("f1")).select("pair_id", *[F.col(f"{n}_{a}").alias(f"rouge{n}_{b}") for n in (1, 2) for a, b in (("p", "precision"), ("r", "recall"), ("f1", "f1"))]),
-        N.meteor_exact(base), N.sentence_bleu(base), N.chrf(base), N.cider_lite(base),
-    ):
+    for table in (N.rouge_and_bleu(base), N.meteor_exact(base), N.chrf(base), N.cider_lite(base)):
         wide = wide.join(table, "pair_id")
     return wide.drop("rougeL", "char_rougeL", "terms", "concepts", "facts", "key_facts", "entities", "relations").withColumnRenamed("pair_id", key)
 
